@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,3 +151,27 @@ def planes(values: np.ndarray) -> bytes:
 
 def unplanes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def by_task(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in `names`, from batches that are sorted by these whole-number columns."""
+    open_: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c) for c in names]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            null, value = c.is_null().to_numpy(zero_copy_only=False), c.fill_null(0).to_numpy(zero_copy_only=False)
+            change[1:] |= (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+        edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            mark = tuple(c[a].as_py() for c in columns)
+            if open_ and mark != last:
+                yield pa.Table.from_batches(open_)
+                open_ = []
+            open_.append(batch.slice(a, b - a))
+            last = mark
+    if open_:
+        yield pa.Table.from_batches(open_)
