@@ -32,7 +32,7 @@ ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 #: What may follow a state as a new turn.
 LEGAL = {(START, SYSTEM), (START, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)}
-RELABEL, MERGE, INSERT = 3, 1, 2
+RELABEL, MERGE, INSERT = 4, 1, 2
 #: Turns of a block.
 BLOCK = 4096
 INFINITE = 1 << 40
