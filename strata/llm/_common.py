@@ -79,12 +79,19 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    if n:
+    """base**0 .. base**(n - 1); kept for later calls unless very long."""
+    out = _POWERS.get(base)
+    if out is None or len(out) < n:
+        out = np.full(max(n, (1 << 19) + 4096), base, U64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
-    return out
+        if len(out) <= 1 << 21:
+            _POWERS[base] = out
+    return out[:n]
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -111,7 +118,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
     """A 64-bit hash of each word's bytes, in blocks so that few bytes of work memory are held for each byte of text."""
     out = np.empty(len(starts), U64)
     at = 0

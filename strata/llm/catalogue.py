@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, chat, langid, neardup, packing, shards, topk, warc
+from strata.llm import bpe, chat, jaccard, langid, neardup, packing, shards, substring, topk, warc
 from strata.llm._common import shared_dir
 from strata.llm.tokens import vocabulary
 
@@ -25,11 +25,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", F.col("offset").cast("long").alias("offset"), "tier", "step_group")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve(warc.crawl_records(table(spark, sf_dir, "pages")))
     return found.select("record_id", "canonical_url", "ts", "refers_to", "outcome", "status", warc.header_lines(F.col("headers")).alias("header_lines"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), 3, 9, 10)
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/shards"
     shards.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder, 0)
@@ -57,5 +66,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_neardup, op2_packing, op4_revisits, op6_token_shards, op7_maxscore, op8_language, op9_bpe, op10_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_neardup, op2_packing, op3_substring_dedup, op4_revisits, op5_jaccard, op6_token_shards, op7_maxscore, op8_language, op9_bpe, op10_chat)}
 ORACLE_SQL: dict[str, str] = {"op4_revisits": warc.ORACLE}
