@@ -72,10 +72,12 @@ def _key_order(keys: pa.ChunkedArray) -> np.ndarray:
     return keys.fill_null(np.iinfo(np.int64).min).to_numpy().astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """key, n_words, n_removed, kept (the kept words joined by one space) and spans (first and last word removed, in runs)."""
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """key, n_words, n_removed, kept (the kept words joined by one space), spans (first and last word removed, in runs) and the
+    columns of docs named in carry. as_is: texts without a repeat are given unchanged."""
     anchor = window // 2
-    own, n = by_part(docs, key, text)
+    names = [f"carry{i}" for i in range(len(carry))]
+    own, n = by_part(docs, key, text, *(docs[c].alias(a) for c, a in zip(carry, names)))
 
     def probe(t: pa.Table) -> pa.Table:
         p = _Part(t)
@@ -148,13 +150,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         texts, spans = [], []
         for i in range(p.n):
             a, b = p.first[i], p.first[i + 1]
-            texts.append(raw[at_byte[a] : max(at_byte[a], at_byte[b] - 1)].decode())
+            if as_is and not removed[b] - removed[a]:
+                texts.append(bytes(p.data[p.offsets[i] : p.offsets[i + 1]]).decode() if p.table.column("text")[i].is_valid else None)
+            else:
+                texts.append(raw[at_byte[a] : max(at_byte[a], at_byte[b] - 1)].decode())
             runs = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]])))
             spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(runs[::2], runs[1::2])])
         return pa.table({
             "key": p.table.column("key"), "n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array((removed[p.first[1:]] - removed[p.first[:-1]]).astype(np.int64)),
             "kept": pa.array(texts, pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+            **{c: p.table.column(c) for c in names},
         })
 
-    out = cogroup(own, verdicts, remove, "key long, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>")
-    return out.withColumnRenamed("key", key)
+    more = "".join(f", {a} {docs.schema[c].dataType.simpleString()}" for c, a in zip(carry, names))
+    out = cogroup(own, verdicts, remove, "key long, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>" + more)
+    return out.withColumnsRenamed({"key": key, **dict(zip(names, carry))})
