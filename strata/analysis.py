@@ -36,17 +36,17 @@ def reflect(p: Program) -> dict[str, DataFrame]:
     }
 
 
-def dependency_closure(depends: DataFrame, write) -> DataFrame:
+def dependency_closure(depends: DataFrame, storage) -> DataFrame:
     """lhs, body, via, neg and temporal: what each collection depends on, directly or not."""
     edge = depends.select("lhs", "body", F.col("nm").alias("neg"), F.col("op").rlike(r"^<[-+~]").alias("temporal")).distinct()
     base = edge.select("lhs", "body", F.col("body").alias("via"), "neg", "temporal")
     step = lambda delta: O.pairs(edge, delta, {"body": "lhs"}, L["lhs"].alias("lhs"), R["body"].alias("body"), L["body"].alias("via"), (L["neg"] | R["neg"]).alias("neg"), (L["temporal"] | R["temporal"]).alias("temporal"))
-    return fixpoint.closure(base, step, write)
+    return fixpoint.closure(base, step, storage)
 
 
-def dependency_report(depends: DataFrame, providing: DataFrame, write) -> dict[str, DataFrame]:
+def dependency_report(depends: DataFrame, providing: DataFrame, storage) -> dict[str, DataFrame]:
     """cycle, source, sink and underspecified, from the closure. providing: pred, input."""
-    tc = dependency_closure(depends, write)
+    tc = dependency_closure(depends, storage)
     proper = tc.where("lhs <> body")
     inputs, outputs = providing.where("input"), providing.where("NOT input")
     return {
@@ -79,12 +79,12 @@ def tag_bounds() -> dict[tuple[str, str], str]:
     for a in tags:
         for b in tags:
             if (a, b) not in out:
-                common = [(max(reach[a, t][0], reach[b, t][0]), t) for t in tags if (a, t) in reach and (b, t) in reach]
+                common = [(max(reach[a, t][0], reach[b, t][0]), t) for t in tags if t not in (a, b) and (a, t) in reach and (b, t) in reach]
                 out[a, b] = min(common)[1]
     return out
 
 
-def path_tags(spark: SparkSession, depends: DataFrame, write) -> DataFrame:
+def path_tags(spark: SparkSession, depends: DataFrame, storage) -> DataFrame:
     """from, to, path, tag, lastop and len: every simple dependency path with its tag."""
     nm, far = F.col("nm"), F.col("op") == "<~"
     tag = F.when(nm & far, "D").when(nm, "N").when(far, "A").otherwise("M")
@@ -99,7 +99,7 @@ def path_tags(spark: SparkSession, depends: DataFrame, write) -> DataFrame:
         longer = longer.where(~F.array_contains("p", F.col("to")))
         return longer.join(F.broadcast(bounds), ["a", "b"]).select("from", "to", F.array_append("p", F.col("to")).alias("path"), F.col("c").alias("tag"), "lastop")
 
-    return fixpoint.closure(base, step, write).withColumn("len", F.size("path"))
+    return fixpoint.closure(base, step, storage).withColumn("len", F.size("path"))
 
 
 def divergence_report(paths: DataFrame, providing: DataFrame) -> dict[str, DataFrame]:

@@ -263,7 +263,7 @@ def argagg(df: DataFrame, agg: str, keys: Sequence[str] | None, column: str, see
         return df.distinct().alias("_0").join(best.alias("_1") if keys else F.broadcast(best.alias("_1")), on, "left_semi")
     pick = {
         "choose": F.min(all_),
-        "choose_rand": F.max_by(all_, F.rand(seed)),
+        "choose_rand": F.max_by(all_, F.xxhash64(*df.columns, F.lit(seed))),
         "bool_and": F.min_by(all_, F.struct(F.col(column), all_)),
         "bool_or": F.min_by(all_, F.struct(~F.col(column), all_)),
     }

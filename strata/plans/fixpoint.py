@@ -1,7 +1,9 @@
 """Recursion to a fixpoint by semi-naive rounds over DataFrames.
 
 Each round joins only what the last one found (the delta), drops rows that are already there by an anti-join that matches nulls,
-and is written, so lineage doesn't grow; the rows found so far stay the files of their rounds and aren't written again. With
+and is written, so lineage doesn't grow. The rows found so far are a few sorted-by-size runs of files, of which the newest are
+merged when they come near each other in size: each row is rewritten a number of times that grows with the logarithm of the
+rounds, and plans stay as small. With
 lattice-valued columns, new values are merged with the stored ones of their keys and the delta is what changed; monotone
 improvement ends on cyclic graphs too."""
 
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.errors import StrataError
+from strata.plans.storage import Storage
 from strata.schema import Schema
 
 MAX_ROUNDS = 10_000
@@ -49,41 +52,64 @@ def replaced(schema: Schema, full: DataFrame, delta: DataFrame) -> DataFrame:
     return full.alias("n").join(delta.alias("o"), on, "left_anti").unionByName(delta)
 
 
+class Runs:
+    """A growing set of rows as runs of files, each more than twice as large as the next."""
+
+    def __init__(self, storage: Storage, name: str, df: DataFrame, n: int) -> None:
+        self.storage, self.name, self.runs = storage, name, [(df, n)]
+
+    def add(self, df: DataFrame, n: int) -> None:
+        self.runs.append((df, n))
+        merged = False
+        while len(self.runs) > 4 and self.runs[-2][1] <= 2 * self.runs[-1][1]:
+            (a, m), (b, k) = self.runs[-2:]
+            self.runs[-2:] = [(a.unionByName(b), m + k)]
+            merged = True
+        if merged:
+            df, n = self.runs[-1]
+            self.runs[-1] = self.storage.counted(df.coalesce(1) if n < 100_000 else df, self.name)  # few rows, few files
+
+    def df(self) -> DataFrame:
+        return fold(lambda a, b: a.unionByName(b), (d for d, _ in self.runs))
+
+
 def solve(
     base: dict[str, DataFrame],
     step: Callable[[dict[str, DataFrame], dict[str, DataFrame]], dict[str, list[DataFrame]]],
     schemas: dict[str, Schema],
-    write: Callable[[DataFrame, str], DataFrame],
+    storage: Storage,
     max_rounds: int = MAX_ROUNDS,
     on_round: Callable[[int], None] | None = None,
 ) -> dict[str, DataFrame]:
     """The least fixpoint of mutually recursive collections.
 
     step(full, delta) gives, for each collection, what follows from delta (with everything else taken from full)."""
-    full = {n: write(schemas[n].merged(df), n) for n, df in base.items()}
-    delta = dict(full)
+    full, delta = {}, {}
+    for n, df in base.items():
+        delta[n] = storage.counted(schemas[n].merged(df), n)
+        full[n] = Runs(storage, n, *delta[n])
     for k in range(max_rounds):
-        live = {n: df for n, df in delta.items() if not df.isEmpty()}
+        live = {n: df for n, (df, rows) in delta.items() if rows}
         if not live:
-            return full
+            return {n: r.df() for n, r in full.items()}
         if on_round:
             on_round(k)
-        found = step(full, live)
+        known = {n: r.df() for n, r in full.items()}
         delta = {}
-        for n, terms in found.items():
+        for n, terms in step(known, live).items():
             if not terms:
                 continue
             new = fold(lambda a, b: a.unionByName(b), (schemas[n].align(t) for t in terms))
-            if schemas[n].lattices:
-                delta[n] = write(improved(schemas[n], new, full[n]), n)
-            else:
-                delta[n] = write(added(new.distinct(), full[n]), n)
-        for n, d in delta.items():
-            full[n] = write(replaced(schemas[n], full[n], d), n) if schemas[n].lattices else full[n].unionByName(d)
+            delta[n] = storage.counted(improved(schemas[n], new, known[n]) if schemas[n].lattices else added(new.distinct(), known[n]), n)
+        for n, (d, rows) in delta.items():
+            if rows and schemas[n].lattices:
+                full[n] = Runs(storage, n, *storage.counted(replaced(schemas[n], known[n], d), n))
+            elif rows:
+                full[n].add(d, rows)
     raise StrataError(f"no fixpoint in {max_rounds} rounds")
 
 
-def closure(base: DataFrame, step: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, str], DataFrame], schema: Schema | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def closure(base: DataFrame, step: Callable[[DataFrame], DataFrame], storage: Storage, schema: Schema | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """One collection with linear recursion: step(delta) gives what follows from the last round's rows."""
     schema = schema or Schema(tuple(base.schema.fields))
-    return solve({"x": base}, lambda full, delta: {"x": [step(delta["x"])]}, {"x": schema}, write, max_rounds)["x"]
+    return solve({"x": base}, lambda full, delta: {"x": [step(delta["x"])]}, {"x": schema}, storage, max_rounds)["x"]

@@ -13,6 +13,7 @@ import datetime as dt
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -618,9 +619,9 @@ class Program:
         base = {}
         deferred, self._deferred = self._deferred, {op: defaultdict(list) for op in ("<+", "<-", "<+-")}
         inbox, self._inbox = self._inbox, defaultdict(list)
-        for name, d in self._decls.items():
-            if name not in self._schemas:
-                continue
+
+        def arrive(name: str) -> None:
+            d = self._decls[name]
             s = self._schemas[name]
             new = deferred["<+"][name] + deferred["<+-"][name]
             if d.kind in (TABLE, DURABLE, CELL):
@@ -650,6 +651,8 @@ class Program:
                 base[name] = s.rows(self.spark, [(x,) for x in lines])
             elif d.kind == READONLY:
                 base[name] = self._read(name, d)
+
+        self._side_by_side(arrive, [n for n in self._decls if n in self._schemas])
         return base
 
     def _union(self, name: str, dfs: list[DataFrame]) -> DataFrame:
@@ -701,19 +704,16 @@ class Program:
             for s, _ in rel.scans() if op else ():
                 readers[s.name] += 1
         now = [(lhs, rel) for lhs, op, rel, _ in self._rules if op == "<="]
-        for component in order:
+        def evaluate(component: list[str]) -> None:
             own = [(lhs, rel) for lhs, rel in now if lhs in component]
-            if not own:
-                continue
             inside = set(component)
             recursive = any(s.name in inside for _, rel in own for s, _ in rel.scans())
             env = self._env(state)
             for name in component:
                 if name not in self._schemas:  # a temp takes the columns of what defines it
-                    first = next(rel for lhs, rel in own if lhs == name)
-                    found = first.build(env)
+                    found = next(rel for lhs, rel in own if lhs == name).build(env)
                     self._schemas[name] = Schema(tuple(T.StructField(f.name if not f.name.startswith("_") else f"c{i}", f.dataType) for i, f in enumerate(found.schema.fields)))
-                    state[name] = base[name] = self._empty(name)
+                    state[name] = self._empty(name)
             flat = {n: [state[n]] + [self._schemas[n].align(rel.build(env)) for lhs, rel in own if lhs == n and not any(s.name in inside for s, _ in rel.scans())] for n in component}
             if not recursive:
                 (name,) = component
@@ -721,10 +721,10 @@ class Program:
                 s, kind = self._schemas[name], self._decls[name].kind
                 lasting = kind in (TABLE, DURABLE, CELL) or readers[name] > 1 or (self.check_keys and s.plain_vals)
                 state[name] = self._settled(name, df) if lasting else s.merged(df)
-                continue
+                return
             looping = [(lhs, rel) for lhs, rel in own if any(s.name in inside for s, _ in rel.scans())]
 
-            def step(full, delta, looping=looping, inside=inside):
+            def step(full, delta):
                 out: dict[str, list[DataFrame]] = {n: [] for n in inside}
                 for lhs, rel in looping:
                     places = [s for s, _ in rel.scans() if s.name in inside]
@@ -736,13 +736,34 @@ class Program:
                             out[lhs].append(rel.build(self._env({**state, **full}, {id(place): delta[place.name]})))
                 return out
 
-            solved = fixpoint.solve({n: self._union(n, dfs) for n, dfs in flat.items()}, step, {n: self._schemas[n] for n in component}, self._keep, self.max_rounds)
+            solved = fixpoint.solve({n: self._union(n, dfs) for n, dfs in flat.items()}, step, {n: self._schemas[n] for n in component}, self.storage, self.max_rounds)
             for name, df in solved.items():
                 if self.check_keys:
                     self._schemas[name].check(df, name)
                 state[name] = df
+
+        # Components that don't depend on each other run side by side: their jobs are often small.
+        reads: dict[str, set[str]] = defaultdict(set)
+        for lhs, rel in now:
+            reads[lhs] |= {s.name for s, _ in rel.scans()}
+        depth: dict[str, int] = {}
+        levels: dict[int, list[list[str]]] = defaultdict(list)
+        for component in order:
+            if not any(n in reads or any(lhs == n for lhs, _ in now) for n in component):
+                continue
+            level = max([0, *(depth[b] + 1 for n in component for b in reads[n] if b in depth and b not in component)])
+            depth.update(dict.fromkeys(component, level))
+            levels[level].append(component)
+        for _, found in sorted(levels.items()):
+            self._side_by_side(evaluate, found)
         return state
 
+    def _side_by_side(self, f: Callable, items: list) -> list:
+        if len(items) < 2:
+            return [f(x) for x in items]
+        with ThreadPoolExecutor(min(len(items), 8)) as pool:
+            return list(pool.map(f, items))
+
     def _env(self, state: dict[str, DataFrame], instead: dict[int, DataFrame] | None = None):
         def env(scan: Scan) -> DataFrame:
             if instead and id(scan) in instead:
@@ -756,16 +777,18 @@ class Program:
     def _transition(self, state: dict[str, DataFrame]) -> None:
         env = self._env(state)
         sends: dict[str, list[DataFrame]] = defaultdict(list)
-        for lhs, op, rel, _ in self._rules:
-            if op in ("", "<="):
-                continue
+
+        def defer(rule) -> None:
+            lhs, op, rel, _ = rule
             df = self._schemas[lhs].align(rel.build(env))
             if op == "<~":
                 sends[lhs].append(df)
-            else:
-                kept = self._keep(df.distinct(), lhs)
-                if not kept.isEmpty():
-                    self._deferred[op][lhs].append(kept)
+                return
+            kept, n = self.storage.counted(df.distinct(), lhs)
+            if n:
+                self._deferred[op][lhs].append(kept)
+
+        self._side_by_side(defer, [r for r in self._rules if r[1] not in ("", "<=")])
         for lhs, dfs in sends.items():
             df, kind = self._union(lhs, dfs), self._decls[lhs].kind
             if kind == TERMINAL:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class Storage:
@@ -15,13 +17,16 @@ class Storage:
         if not base:
             base = "file:///tmp/strata-state"
             spark.sparkContext.setCheckpointDir(base)
-        self.spark, self.folder, self.n = spark, f"{base.rstrip('/')}/program-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self._next = spark, f"{base.rstrip('/')}/program-{uuid.uuid4().hex}", itertools.count()
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.folder}/{self.n:06}-{name.replace('.', '-')}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.counted(df, name)[0]
+
+    def counted(self, df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
+        """write(), and the number of rows, which the same job counts. Threads may write at once."""
+        path, seen = f"{self.folder}/{next(self._next):06}-{name.replace('.', '-')}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
     def drop(self) -> None:
         """Deletes all files that write() made; frames read from them can't be read any more."""

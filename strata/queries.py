@@ -382,8 +382,8 @@ def edges(spark, d) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_EDGES}, tc AS (SELECT f, t FROM edge UNION SELECT tc.f, edge.t FROM tc JOIN edge ON tc.t = edge.f) SELECT f, t FROM tc")
 def tc_nations(spark, d):
-    store = Storage(spark).write
-    edge = store(edges(spark, d).select("f", "t"), "edge")
+    store = Storage(spark)
+    edge = store.write(edges(spark, d).select("f", "t"), "edge")
     return fixpoint.closure(edge, lambda x: O.pairs(x, edge, {"t": "f"}, L["f"].alias("f"), R["t"].alias("t")), store)
 
 
@@ -429,19 +429,19 @@ def widest_path_lmax(spark, d):
 
 @query("SELECT DISTINCT a.conv_id, a.turn AS from_turn, b.turn AS to_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn AND (b.turn - a.turn) = (SELECT count(*) FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn > a.turn AND c.turn <= b.turn)")
 def reach_conversation(spark, d):
-    store = Storage(spark).write
+    store = Storage(spark)
     c = t(spark, d, "conversations").select("conv_id", "turn")
-    step = store(O.pairs(c.withColumn("next", F.col("turn") + 1), c, {"conv_id": "conv_id", "next": "turn"}, L["conv_id"].alias("conv_id"), L["turn"].alias("from_turn"), R["turn"].alias("to_turn")), "step")
+    step = store.write(O.pairs(c.withColumn("next", F.col("turn") + 1), c, {"conv_id": "conv_id", "next": "turn"}, L["conv_id"].alias("conv_id"), L["turn"].alias("from_turn"), R["turn"].alias("to_turn")), "step")
     return fixpoint.closure(step, lambda x: O.pairs(x, step, {"conv_id": "conv_id", "to_turn": "from_turn"}, L["conv_id"].alias("conv_id"), L["from_turn"].alias("from_turn"), R["to_turn"].alias("to_turn")), store)
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey OR true")
 def same_generation(spark, d):
     """Nations have regions as parents and regions the world: all nations are of one generation."""
-    store = Storage(spark).write
+    store = Storage(spark)
     n, r = t(spark, d, "nation"), t(spark, d, "region")
     child = n.select(F.concat(F.lit("n"), "n_nationkey").alias("c"), F.concat(F.lit("r"), "n_regionkey").alias("p")).unionByName(r.select(F.concat(F.lit("r"), "r_regionkey").alias("c"), F.lit("world").alias("p")))
-    child = store(child, "child")
+    child = store.write(child, "child")
     base = O.pairs(child, child, {"p": "p"}, L["c"].alias("a"), R["c"].alias("b"))
     step = lambda x: O.combos([x, child, child], [((0, "a"), (1, "p")), ((0, "b"), (2, "p"))], S(1)["c"].alias("a"), S(2)["c"].alias("b"))
     number = lambda c: F.substring(c, 2, 10).cast("int").alias(c)
@@ -718,7 +718,7 @@ def dep_tc(spark, d):
     from strata import analysis
 
     p = _Cells(spark)
-    return analysis.dependency_closure(spark.createDataFrame([(x.rule, x.lhs, x.op, x.body, x.nm) for x in p.depends()], analysis.DEPENDS), p._keep)
+    return analysis.dependency_closure(spark.createDataFrame([(x.rule, x.lhs, x.op, x.body, x.nm) for x in p.depends()], analysis.DEPENDS), p.storage)
 
 
 @query()
@@ -734,5 +734,5 @@ def path_labels(spark, d):
 
     p = _Mail(spark)
     depends = spark.createDataFrame([(x.rule, x.lhs, x.op, x.body, x.nm) for x in p.depends()], analysis.DEPENDS)
-    return analysis.path_tags(spark, depends, p._keep)
+    return analysis.path_tags(spark, depends, p.storage)
 

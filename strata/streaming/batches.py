@@ -32,27 +32,32 @@ def drive(program, inputs: dict[str, DataFrame], checkpoint: str, trigger: dict
 
 def tumbling(df: DataFrame, time: str, width: str, keys: list[str], *aggs, late: str | None = None) -> DataFrame:
     """Aggregates by window and keys; late: how long rows may come late (for streams)."""
-    df = df.withWatermark(time, late) if late else df
+    df = _timed(df, time, late)
     return df.groupBy(F.window(time, width), *keys).agg(*aggs).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, *(c for c in _names(aggs)))
 
 
 def sliding(df: DataFrame, time: str, width: str, slide: str, keys: list[str], *aggs, late: str | None = None) -> DataFrame:
-    df = df.withWatermark(time, late) if late else df
+    df = _timed(df, time, late)
     return df.groupBy(F.window(time, width, slide), *keys).agg(*aggs).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, *(c for c in _names(aggs)))
 
 
 def sessions(df: DataFrame, time: str, gap: str, keys: list[str], *aggs, late: str | None = None) -> DataFrame:
-    df = df.withWatermark(time, late) if late else df
+    df = _timed(df, time, late)
     return df.groupBy(F.session_window(time, gap), *keys).agg(*aggs).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, *(c for c in _names(aggs)))
 
 
+def _timed(df: DataFrame, time: str, late: str | None) -> DataFrame:
+    """df with a watermark, which needs a time with a zone; without one, as it is."""
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else df
+
+
 def _names(aggs) -> list[str]:
     return [a._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for a in aggs]
 
 
 def first_seen(df: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
     """Each key once, over the whole stream within the watermark."""
-    return df.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return _timed(df, time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def last_seen(df: DataFrame, key: str, time: str) -> DataFrame:
