@@ -260,7 +260,8 @@ def argagg(df: DataFrame, agg: str, keys: Sequence[str] | None, column: str, see
     if agg in ("min", "max"):
         best = df.groupBy(*keys, *one).agg(A.BY_NAME[agg](column).column.alias("_best"))
         on = conj([L[k].eqNullSafe(F.col(f"_1.`{k}`")) for k in keys] + [L[column].eqNullSafe(F.col("_1._best"))])
-        return df.distinct().alias("_0").join(best.alias("_1") if keys else F.broadcast(best.alias("_1")), on, "left_semi")
+        found = df.alias("_0").join(best.alias("_1") if keys else F.broadcast(best.alias("_1")), on, "left_semi")
+        return found.distinct()  # of the few rows that are left
     pick = {
         "choose": F.min(all_),
         "choose_rand": F.max_by(all_, F.xxhash64(*df.columns, F.lit(seed))),

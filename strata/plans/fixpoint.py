@@ -61,7 +61,7 @@ class Runs:
     def add(self, df: DataFrame, n: int) -> None:
         self.runs.append((df, n))
         merged = False
-        while len(self.runs) > 4 and self.runs[-2][1] <= 2 * self.runs[-1][1]:
+        while len(self.runs) > (1 if merged else 12) and self.runs[-2][1] <= 2 * self.runs[-1][1]:
             (a, m), (b, k) = self.runs[-2:]
             self.runs[-2:] = [(a.unionByName(b), m + k)]
             merged = True

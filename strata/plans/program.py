@@ -281,6 +281,7 @@ class Program:
         self._plan = None
         self._started = False
         self.trace_log: list[tuple[int, str, int]] | None = [] if trace else None
+        self.trace_states: list[tuple[int, dict[str, DataFrame]]] = []
         self.tick_times: list[float] = []
         self._declare(type(self), "")
         self._declare_system()
@@ -572,14 +573,15 @@ class Program:
         self.clock = self._clock()
         order, _, _ = self.plan()
         base = self._setup()
-        state = self._logic(order, base)
+        state, before = self._logic(order, base), self._state
         self._state = state
-        self._transition(state)
+        self._transition(state, before)
         for name, f in list(self._callbacks.values()):
             if not state[name].isEmpty():
                 f(state[name])
         if self.trace_log is not None:
             self.trace_log += [(self.budtime, n, df.count()) for n, df in state.items()]
+            self.trace_states.append((self.budtime, state))
         halted = "halt" in state and self._has_rules("halt", "<=") and not state["halt"].isEmpty()
         self.budtime += 1
         self.clock = None
@@ -774,7 +776,7 @@ class Program:
 
         return env
 
-    def _transition(self, state: dict[str, DataFrame]) -> None:
+    def _transition(self, state: dict[str, DataFrame], before: dict[str, DataFrame]) -> None:
         env = self._env(state)
         sends: dict[str, list[DataFrame]] = defaultdict(list)
 
@@ -802,7 +804,7 @@ class Program:
             else:
                 self._send(lhs, df)
         for name, d in self._decls.items():
-            if d.kind == DURABLE and name in state:
+            if d.kind == DURABLE and name in state and state[name] is not before.get(name):
                 from strata.sources.durable import commit
 
                 commit(state[name], d.options["path"])

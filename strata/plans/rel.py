@@ -102,6 +102,10 @@ class Rel:
     def lookup(self, other: Rel, preds, *exprs) -> Rel:
         return self._binary(other, lambda a, b: O.lookup(a, b, preds, *exprs), nm_right=True)
 
+    def with_cell(self, cell: Rel, name: str, monotone: bool = False) -> Rel:
+        """Rows with the value of an lmax, lmin or lbool as one more column."""
+        return self._binary(cell, lambda a, b: a.crossJoin(F.broadcast(b.select(F.col("v").alias(name)))), nm_right=not monotone)  # one row
+
     def scalar(self, kind: str, pred: Column | None = None) -> Rel:
         return self._unary(lambda d: O.scalar(d, kind, pred), True)
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strata.plans.program import Program
 
@@ -14,6 +16,12 @@ def cardinalities(p: Program) -> DataFrame:
     return p.spark.createDataFrame(p.trace_log or [], "tick long, table_name string, n long")
 
 
+def contents(p: Program, name: str) -> DataFrame:
+    """A collection's rows in every step so far, with the step first, of a program made with trace=True."""
+    each = [df[name].select(F.lit(k).cast("long").alias("tick"), *df[name].columns) for k, df in p.trace_states if name in df]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
 def metrics(p: Program) -> dict[str, float]:
     """count, mean and standard deviation of step times, and how many rules read each collection."""
     n, mean, m2 = 0, 0.0, 0.0

@@ -421,6 +421,92 @@ def test_labels(spark):
     assert analysis._collapse(["A"], "N") == ["D"] and analysis._collapse(["N"], "A") == ["N", "A"] and analysis.worst(["A", "N"]) == "D"
 
 
+class Guards(P.Program):
+    i1, i2, response = P.interface("input"), P.interface("input"), P.interface("output")
+    c1, c2 = P.channel("@addr string, val string"), P.channel("@addr string, val string")
+    guard1, guard2 = P.table("addr string, val string"), P.table("addr string, val string")
+
+    @P.rules
+    def basic(p):
+        p.c1.async_(p.i1)
+        p.c2.async_(p.i2)
+        p.guard1 <= p.c1
+        p.guard2 <= p.c2
+
+
+class GuardsNotIn(Guards):
+    @P.rules
+    def answer(p):
+        p.response <= p.guard1.notin(p.guard2, {"val": "val"})
+
+
+class GuardsGroup(Guards):
+    @P.rules
+    def answer(p):
+        p.response <= p.guard1.group(["val"], A.count())
+
+
+class GuardsJoin(Guards):
+    @P.rules
+    def answer(p):
+        p.response <= (p.guard1 * p.guard2).lefts({"val": "val"})
+
+
+class GuardsDelete(GuardsJoin):
+    dguard, c3 = P.interface("input"), P.channel("@addr string, val string")
+
+    @P.rules
+    def delete(p):
+        p.c3.async_(p.dguard)
+        p.guard2.delete_((p.guard2 * p.c3).lefts({"val": "val"}))
+
+
+class Sides(P.Program):
+    lchan, rchan = P.channel("@addr string, val string"), P.channel("@addr string, val string")
+    ls, rs, result = P.scratch("addr string, val string"), P.scratch("addr string, val string"), P.interface("output", "addr string, val string")
+    lt, rt = P.table("addr string, val string"), P.table("addr string, val string")
+    use = ("ls", "rs")
+
+    @P.rules
+    def body(p):
+        p.ls <= p.lchan
+        p.rs <= p.rchan
+        p.lt <= p.lchan
+        p.rt <= p.rchan
+        p.result <= (p[p.use[0]] * p[p.use[1]]).lefts({"val": "val"})
+
+
+def test_consistency_labels(spark):
+    assert analysis.output_report(GuardsNotIn(spark)) == {"response": "D"}
+    assert analysis.path_report(GuardsNotIn(spark)) == {"response": {"i1": "A", "i2": "D"}}
+    assert analysis.path_report(GuardsGroup(spark)) == {"response": {"i1": "D"}}
+    assert analysis.path_report(GuardsJoin(spark)) == {"response": {"i1": "A", "i2": "A"}}
+    assert analysis.path_report(GuardsDelete(spark)) == {"response": {"i1": "A", "i2": "D", "dguard": "D"}}
+    for use, guarded in ((("ls", "rs"), False), (("lt", "rs"), False), (("lt", "rt"), True)):
+        p = type("One", (Sides,), {"use": use})(spark)
+        assert {x for x in analysis.channel_races(p) if x[2] == "result"} == {("lchan", "rchan", "result", guarded), ("rchan", "lchan", "result", guarded)}
+
+
+class Sum(P.Program):
+    inp = P.scratch("v long")
+    limit = P.lmax()
+    under = P.scratch("v long, top long")
+
+    @P.rules
+    def body(p):
+        p.limit <= p.inp
+        p.under <= p.inp.with_cell(p.limit, "top").where("v < top")
+
+
+def test_cells_within_expressions(spark):
+    p = Sum(spark, trace=True)
+    p.tick({"inp": [(1,), (5,)]})
+    assert p.rows("under") == [(1, 5)]
+    p.tick({"inp": [(3,), (9,)]})
+    assert p.rows("under") == [(3, 9)]
+    assert sorted(tuple(r) for r in trace.contents(p, "under").collect()) == [(0, 1, 5), (1, 3, 9)]
+
+
 def test_dependency_analysis(spark):
     p = Tc(spark)
     deps = spark.createDataFrame([(d.rule, d.lhs, d.op, d.body, d.nm) for d in p.depends()], analysis.DEPENDS)
