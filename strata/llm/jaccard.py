@@ -5,7 +5,9 @@ hash names a segment and a bit in it, and setting a bit twice clears it, so the
 symmetric difference of their sets. Segments are wide (2**32 bits) and are kept as the XOR of one random word for each bit.
 In a size band, a pair that reaches the threshold differs by at most d n-grams, hence in at most d of its k > d segments: it
 agrees in a segment (pigeonhole). A document emits the segments of its own band and of the next larger one, so each pair meets
-in the band of its larger set; it leaves out its segments of fewest n-grams while more than d are left, which loses no pair.
+in the band of its larger set; it leaves out its empty segments if more than d others are left, which loses no pair. Of the e
+segments that it emits so, at least e - d must come again in a partner: a document with fewer shared ones has no partner in
+that band and drops out before sets are compared.
 
 Sets that are equal are one class from the start (by two 64-bit sums of hashes and the size). Segments that only one class has
 are dropped by the exchange of _repeats. Classes that share a segment, directly or through others, form candidate groups; a
@@ -70,13 +72,14 @@ class Bands:
 
     def segments(self, band: int) -> int:
         d = self.distance(band)
-        return d + 2 + (d + 1) // 8
+        return d + 2 + (d + 1) // 4
 
 
-def sketch_keys(grams: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the emitted segments of each set, and the row of each key."""
+def sketch_keys(grams: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the emitted segments of each set; the row of each key; its sketch (a row in a band); and how many keys of each
+    sketch any partner must share."""
     sizes = np.diff(offsets)
-    out, rows = [], []
+    out, rows, sketches, needs, n_sketches = [], [], [], [], 0
     own = bands.of(np.maximum(sizes, 1))
     for step in (0, 1):
         k_of = np.array([bands.segments(b) for b in range(len(bands.low))])
@@ -94,21 +97,21 @@ def sketch_keys(grams: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[n
         place = base[row_of_gram] + segment.astype(np.int64)
         parity, count = np.zeros(base[-1], U64), np.bincount(place, minlength=base[-1])
         np.bitwise_xor.at(parity, place, mix64(g ^ U64(0xA24BAED4963EE407)))
-        # Leave out the emptiest segments while more than d stay.
         row = np.repeat(np.arange(len(alive)), k)
         d = np.array([bands.distance(b) for b in band[alive]])
-        keep = np.zeros(base[-1], bool)
-        settled = np.zeros(len(alive), bool)
-        for least in (4, 3, 2, 1, 0):
-            strong = count >= least
-            enough = (np.bincount(row[strong], minlength=len(alive)) > d) & ~settled
-            keep |= strong & enough[row]
-            settled |= enough
+        full = np.bincount(row[count > 0], minlength=len(alive))
+        enough = full > d
+        keep = (count > 0) | ~enough[row]
         number = np.arange(base[-1]) - base[row]
         key = mix64(parity + mix64((band[alive][row].astype(U64) << U64(40)) + number.astype(U64)))
         out.append(key[keep])
         rows.append(alive[row[keep]])
-    return (np.concatenate(out), np.concatenate(rows)) if out else (np.zeros(0, U64), np.zeros(0, np.int64))
+        sketches.append(row[keep] + n_sketches)
+        needs.append(np.where(enough, full - d, 1))
+        n_sketches += len(alive)
+    if not out:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(rows), np.concatenate(sketches), np.concatenate(needs)
 
 
 def short_sketch(own: np.ndarray) -> np.ndarray:
@@ -173,7 +176,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, te
 
     def emit(t: pa.Table, r: pa.Table) -> pa.Table:
         _, grams, offsets = sets_of(t, r.column("rep").to_numpy())
-        keys, _ = sketch_keys(grams, offsets, bands)
+        keys = sketch_keys(grams, offsets, bands)[0]
         return send(t.column("part")[0].as_py() if t.num_rows else 0, keys, None, n_parts)
 
     answers = answer(cogroup(own, reps, emit, SENT))
@@ -182,9 +185,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, te
     def candidates(t: pa.Table, r: pa.Table) -> pa.Table:
         found = answered(r.filter(pa.compute.is_valid(r.column("bucket"))))
         doc, grams, offsets = sets_of(t, r.column("rep").drop_null().to_numpy() if len(found) else np.zeros(0, np.int64))
-        keys, rows = sketch_keys(grams, offsets, bands)
+        keys, rows, sketch, need = sketch_keys(grams, offsets, bands)
         own_marks = marks(keys, n_parts)
         hit = within(own_marks, found)
+        hit &= (np.bincount(sketch[hit], minlength=len(need)) >= need)[sketch]
         rows, own_marks = rows[hit], own_marks[hit]
         order = np.argsort(rows, kind="stable")
         rows, own_marks = rows[order], own_marks[order].view(np.int64)

@@ -124,8 +124,10 @@ def test_segments_lose_no_pair():
                 both, far = len(np.intersect1d(a, b)), len(np.setxor1d(a, b))
                 assert np.bitwise_count(jaccard.short_sketch(a) ^ jaccard.short_sketch(b)).sum() <= far
                 if far and both and both * den >= num * (len(a) + len(b) - both):
-                    keys, rows = jaccard.sketch_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), jaccard.Bands(num, den, 4000))
-                    assert set(keys[rows == 0]) & set(keys[rows == 1])
+                    keys, rows, sketch, need = jaccard.sketch_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), jaccard.Bands(num, den, 4000))
+                    shared = np.isin(keys, np.intersect1d(keys[rows == 0], keys[rows == 1]))
+                    met = np.bincount(sketch[shared], minlength=len(need)) >= need
+                    assert set(keys[shared & (rows == 0) & met[sketch]]) & set(keys[shared & (rows == 1) & met[sketch]])
 
 
 def test_words_and_hashes():
