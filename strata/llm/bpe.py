@@ -112,7 +112,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """All columns of encoded, and decoded: the text of its ids, special tokens included. Null ids give null."""
+    """All columns of encoded, and decoded (in the place of one of that name): the text of its ids, special tokens included.
+    Null ids give null."""
+    encoded = encoded.drop("decoded")
     names = encoded.columns
     place = names.index(ids)
 

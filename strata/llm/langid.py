@@ -143,7 +143,8 @@ def train(docs: DataFrame, teach: Column, text: str = "text", lang: str = "lang"
 
 
 def predict(docs: DataFrame, model: LanguageFilter | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1) behind its columns, from the text alone."""
+    """docs with lang_pred and score (0 to 1) behind its columns, from the text alone. Columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     spark, names = docs.sparkSession, docs.columns
     place = names.index(text)
     shared = spark.sparkContext.broadcast(model)  # 1 to 8 MB, whatever the input

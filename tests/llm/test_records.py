@@ -89,6 +89,8 @@ def test_op8_edges(spark):
     assert langid.train(docs, F.lit(False)) is None
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
     assert langid.predict(docs.limit(0), model).count() == 0
+    clash = langid.predict(docs.withColumn("score", F.lit("x")).withColumn("key", F.lit(1)).withColumn("gram", F.lit(2)), model)
+    assert clash.columns == ["doc_id", "text", "lang", "key", "gram", "lang_pred", "score"] and clash.where("doc_id = 1").first().lang_pred == "en"
 
 
 def test_filter_returns_all_languages_and_corrects(spark):

@@ -54,7 +54,7 @@ def test_chunks_are_reused(spark):
 
 
 def test_op9_round_trip(spark, docs):
-    both = bpe.decode(bpe.encode(docs, BYTE), BYTE)
+    both = bpe.decode(bpe.encode(docs, BYTE).selectExpr("*", "'x' AS decoded", "1 AS key"), BYTE)
     rows = {r.doc_id: r for r in both.collect()}
     for i, t in enumerate(TEXTS):
         assert rows[i].ids == ids_of(BYTE, t) and rows[i].decoded == (t or "")
