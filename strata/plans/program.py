@@ -468,7 +468,7 @@ class Program:
         return self[name].rows()
 
     def _empty(self, name: str) -> DataFrame:
-        return self.spark.createDataFrame([], self._schemas[name].struct)
+        return self._schemas[name].frame(self.spark, [])
 
     def on(self, name: str, f: Callable[[DataFrame], None]) -> int:
         """Calls f with the collection's rows at the end of each step in which it has any; returns a number for off()."""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strata.errors import CompileError, KeyConstraintError, TypeMismatchError
 from strata.functions.lattices import Lattice
@@ -110,7 +112,20 @@ class Schema:
             if len(r) > len(self.fields):
                 raise TypeMismatchError(f"{len(r)} values for the columns {self.cols}")
             out.append((*r, *[None] * (len(self.fields) - len(r))))
-        return spark.createDataFrame(out, self.struct)
+        return self.frame(spark, out)
+
+    def frame(self, spark, rows: list[tuple]) -> DataFrame:
+        """Full rows as a local relation: no task makes it, and Catalyst drops it from plans where it is empty."""
+        plain = not any(isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.MapType, T.StructType)) for f in self.fields)
+        if not self.fields or not (plain or not rows):
+            return spark.createDataFrame(rows, self.struct)
+        kinds = to_arrow_schema(self.struct)
+        columns = list(zip(*rows)) if rows else [()] * len(self.fields)
+        try:
+            table = pa.Table.from_arrays([pa.array(list(c), k.type) for c, k in zip(columns, kinds)], schema=kinds)
+        except (pa.ArrowInvalid, pa.ArrowTypeError) as e:
+            raise TypeMismatchError(f"values don't fit the columns {self.cols}: {e}") from e
+        return spark.createDataFrame(table, self.struct)
 
     def merged(self, df: DataFrame) -> DataFrame:
         """Aligned rows as a set: equal rows once, lattice values merged by key."""
