@@ -263,7 +263,7 @@ class Program:
         self.spark, self.address, self.network, self.stdout = spark, address, network, stdout
         self.channel_filter, self.check_keys, self.strict, self.max_rounds = channel_filter, check_keys, strict, max_rounds
         self._clock = clock or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
-        self.storage, self.budtime, self.clock, self.stopped, self.paused = Storage(spark, state_folder), 0, None, False, False
+        self.storage, self.step, self.clock, self.stopped, self.paused = Storage(spark, state_folder), 0, None, False, False
         self._decls: dict[str, Decl] = {}
         self._schemas: dict[str, Schema] = {}
         self._modules: dict[str, _Module] = {}
@@ -552,7 +552,7 @@ class Program:
         return F.lit(self.clock)
 
     def time(self) -> Column:
-        return F.lit(self.budtime)
+        return F.lit(self.step)
 
     def at_step(self, f: Callable[[Program], list | DataFrame], keys=None, vals=None) -> Rel:
         """A relation that is made anew in each step, from the step's own time and clock."""
@@ -580,10 +580,10 @@ class Program:
             if not state[name].isEmpty():
                 f(state[name])
         if self.trace_log is not None:
-            self.trace_log += [(self.budtime, n, df.count()) for n, df in state.items()]
-            self.trace_states.append((self.budtime, state))
+            self.trace_log += [(self.step, n, df.count()) for n, df in state.items()]
+            self.trace_states.append((self.step, state))
         halted = "halt" in state and self._has_rules("halt", "<=") and not state["halt"].isEmpty()
-        self.budtime += 1
+        self.step += 1
         self.clock = None
         self.tick_times.append((dt.datetime.now() - began).total_seconds())
         if halted:

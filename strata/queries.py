@@ -473,7 +473,7 @@ class _Ledger(P.Program):
     def once(p):
         p.fresh <= p.incoming.select("status").notin(p.seen)
         p.seen.next_(p.fresh)
-        p.log <= p.fresh.apply(lambda df: df.withColumn("step", F.lit(p.budtime).cast("long")), True)
+        p.log <= p.fresh.apply(lambda df: df.withColumn("step", F.lit(p.step).cast("long")), True)
 
 
 def _ledger(spark, d, days=(0, 1, 2)) -> _Ledger:

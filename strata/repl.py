@@ -52,7 +52,7 @@ class Repl(cmd.Cmd):
             self.program.tick()
             hit = [x for x in self.stop_at if not self.program.contents(x).isEmpty()]
             if hit:
-                self.out(f"stopped at step {self.program.budtime}: {', '.join(hit)}")
+                self.out(f"stopped at step {self.program.step}: {', '.join(hit)}")
                 break
 
     def cmd_run(self, *_) -> None:

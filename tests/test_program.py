@@ -39,7 +39,7 @@ def test_steps_keys_and_deletes(spark):
         p.tick()
         assert len(p.rows("tbl")) == 2 and p.rows("scr2") == []
         p.tick()
-        assert p.rows("tbl") == [("a", "c", 3, 4)] and p.budtime == 3
+        assert p.rows("tbl") == [("a", "c", 3, 4)] and p.step == 3
 
 
 class Keyed(P.Program):
@@ -256,7 +256,7 @@ class Timed(P.Program):
     def body(p):
         p.log <= p.tik.select("val")
         p.term.async_(p.term.select(F.upper("line")))
-        p.clock_row <= p.at_step(lambda q: [(q.budtime,)], "step long")
+        p.clock_row <= p.at_step(lambda q: [(q.step,)], "step long")
         p.halt <= p.term.where("line = 'stop'").select(F.lit("kill"))
 
 
@@ -349,11 +349,11 @@ def test_temps_files_and_expressions(spark, tmp_path):
     assert p.rows("u") == [("x", 2), ("y", 3)] and p.rows("out") == []
     p.tick()
     assert p.rows("out") == [("x", 1), ("y", 1)]
-    (tmp_path / "f.txt").write_text("one \ntwo Bloom\n\nlast")
+    (tmp_path / "f.txt").write_text("one \ntwo Words\n\nlast")
     Files = type("Files", (P.Program,), {"text": P.file_reader(f"file://{tmp_path}/f.txt"), "made": P.coll_expr(lambda: [(1, "hi")], "a long, b string")})
     q = Files(spark)
     q.tick()
-    assert q.rows("text") == [(0, "one"), (1, "two Bloom"), (2, ""), (3, "last")] and q.rows("made") == [(1, "hi")]
+    assert q.rows("text") == [(0, "one"), (1, "two Words"), (2, ""), (3, "last")] and q.rows("made") == [(1, "hi")]
     q.tick()
     assert q.rows("text") == []
 
@@ -540,7 +540,7 @@ def test_streams_drive_programs(spark, tmp_path):
     p = Seen(spark)
     for q in batches.drive(p, {"inp": stream().select("event_id")}, f"file://{tmp_path}/cp"):
         q.awaitTermination()
-    assert len(p.rows("seen")) == events.count() and p.budtime == 3
+    assert len(p.rows("seen")) == events.count() and p.step == 3
     daily = batches.tumbling(stream(), "ts", "1 day", ["event_type"], F.count(F.lit(1)).alias("n"), late="2 days")
     q = daily.writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/cp2").start()
     q.awaitTermination()
