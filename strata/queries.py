@@ -297,6 +297,20 @@ def argagg_bool_or(spark, d):
     return O.argagg(t(spark, d, "labels").select("quality", "doc_id", (F.col("toxic") == 1).alias("bad")), "bool_or", ["quality"], "bad")
 
 
+@query("SELECT DISTINCT user_id, true AS member FROM events")
+def choose_rand(spark, d):
+    """Which row is picked is no matter for SQL; that it is one of the group's own is."""
+    e = t(spark, d, "events").select("user_id", "event_id")
+    picked = O.group_as(e, ["user_id"], event_id=A.choose_rand("event_id"))
+    return O.pairs(picked, e, {"user_id": "user_id", "event_id": "event_id"}, L["user_id"].alias("user_id"), F.lit(True).alias("member"))
+
+
+@query("SELECT 'none' AS k, CAST(0 AS bigint) AS n")
+def reduce_empty(spark, d):
+    """A fold of nothing gives its initial value."""
+    return O.reduce(t(spark, d, "orders").where("o_totalprice < 0").select("o_orderstatus"), {"none": 0}, lambda memo, row: memo, lambda a, b: a, "k string, n long")
+
+
 # --- order and sets --------------------------------------------------------------------------------------------------------
 
 
@@ -371,23 +385,37 @@ def scalar_predicates(spark, d):
 # --- recursion ---------------------------------------------------------------------------------------------------------------
 
 _EDGES = """edge AS (SELECT c_nationkey AS f, s_nationkey AS t, min(CAST(round(o_totalprice) AS bigint)) AS c FROM customer JOIN orders ON o_custkey = c_custkey
-JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE (c_nationkey * 31 + s_nationkey * 17) % 11 = 0 GROUP BY 1, 2)"""
+JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)"""
+_PARTNERS = f"""{_EDGES}, partner AS (SELECT f, t FROM (SELECT f, t, rank() OVER (PARTITION BY f ORDER BY c) AS least, rank() OVER (PARTITION BY f ORDER BY c DESC) AS most FROM edge)
+WHERE least = 1 OR most = 1)"""
 
 
 def edges(spark, d) -> DataFrame:
     c, o, li, s = (t(spark, d, x) for x in ("customer", "orders", "lineitem", "supplier"))
     joined = O.combos([c, o, li, s], [((0, "c_custkey"), (1, "o_custkey")), ((1, "o_orderkey"), (2, "l_orderkey")), ((2, "l_suppkey"), (3, "s_suppkey"))], S(0)["c_nationkey"].alias("f"), S(3)["s_nationkey"].alias("t"), F.round(S(1)["o_totalprice"]).cast("long").alias("c"))
-    return O.group_as(joined.where((F.col("f") * 31 + F.col("t") * 17) % 11 == 0), ["f", "t"], c=A.min_("c"))
+    return O.group_as(joined, ["f", "t"], c=A.min_("c"))
+
+
+def partners(spark, d, store: Storage) -> DataFrame:
+    """From each customer nation to the supplier nations of its least and its greatest edge: few edges, so that paths are long."""
+    edge = store.write(edges(spark, d), "edge")
+    return store.write(O.union(O.argmin(edge, ["f"], "c"), O.argmax(edge, ["f"], "c")).select("f", "t").distinct(), "partner")
+
 
+def _doublings(step: str) -> str:
+    """SQL of best paths by five doublings: all of up to 32 edges, more than a best path between 25 nations has."""
+    parts = [_EDGES] + [f"d{k + 1} AS (SELECT f, t, {step} AS c FROM (SELECT f, t, c, NULL AS e FROM {x} UNION ALL SELECT a.f, b.t, a.c, b.c FROM {x} a JOIN {x} b ON a.t = b.f) GROUP BY f, t)" for k in range(5) for x in [f"d{k}" if k else "edge"]]
+    return f"WITH {', '.join(parts)} SELECT f, t, CAST(c AS bigint) AS c FROM d5"
 
-@query(f"WITH RECURSIVE {_EDGES}, tc AS (SELECT f, t FROM edge UNION SELECT tc.f, edge.t FROM tc JOIN edge ON tc.t = edge.f) SELECT f, t FROM tc")
+
+@query(f"WITH RECURSIVE {_PARTNERS}, tc AS (SELECT f, t FROM partner UNION SELECT tc.f, partner.t FROM tc JOIN partner ON tc.t = partner.f) SELECT f, t FROM tc")
 def tc_nations(spark, d):
     store = Storage(spark)
-    edge = store.write(edges(spark, d).select("f", "t"), "edge")
+    edge = partners(spark, d, store)
     return fixpoint.closure(edge, lambda x: O.pairs(x, edge, {"t": "f"}, L["f"].alias("f"), R["t"].alias("t")), store)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, tc AS (SELECT f, t FROM edge UNION SELECT tc.f, edge.t FROM tc JOIN edge ON tc.t = edge.f) SELECT f, t FROM tc WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = tc.t AND s_acctbal > 9000)")
+@query(f"WITH RECURSIVE {_PARTNERS}, tc AS (SELECT f, t FROM partner UNION SELECT tc.f, partner.t FROM tc JOIN partner ON tc.t = partner.f) SELECT f, t FROM tc WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = tc.t AND s_acctbal > 9000)")
 def tc_then_notin(spark, d):
     return O.notin(tc_nations(spark, d), t(spark, d, "supplier").where("s_acctbal > 9000"), {"t": "s_nationkey"})
 
@@ -413,14 +441,14 @@ class _Widest(_Paths):
         p.path <= (p.path * p.edge).pairs({"t": "f"}, L["f"], R["t"], F.least(L["c"], R["c"]))
 
 
-@query()
+@query(_doublings("min(c + coalesce(e, 0))"))
 def shortest_path_lmin(spark, d):
     p = _Paths(spark)
     p.tick({"edge": edges(spark, d)})
     return p.path.df()
 
 
-@query()
+@query(_doublings("max(CASE WHEN e < c THEN e ELSE c END)"))
 def widest_path_lmax(spark, d):
     p = _Widest(spark)
     p.tick({"edge": edges(spark, d)})
@@ -538,12 +566,12 @@ class _Keyed(P.Program):
         p.held.delete_((p.held * p.ask).lefts({"k": "k"}))
 
 
-@query("SELECT CAST(n_nationkey AS bigint) AS k, CAST(n_regionkey AS bigint) AS v FROM nation WHERE n_nationkey % 2 = 1")
+@query("SELECT CAST(n_nationkey AS bigint) AS k, CAST(n_regionkey AS bigint) AS v FROM nation WHERE n_regionkey >= 2")
 def delete_by_key(spark, d):
     p = _Keyed(spark)
     n = t(spark, d, "nation")
     p.tick({"held": n.select("n_nationkey", "n_regionkey")})
-    p.tick({"ask": n.where("n_nationkey % 2 = 0").select("n_nationkey")})
+    p.tick({"ask": n.where("n_regionkey < 2").select("n_nationkey")})
     p.tick()
     return p.held.df()
 
@@ -653,6 +681,101 @@ def quorum(spark, d):
     return _cells(spark, d).quorum.df()
 
 
+class _Maps(P.Program):
+    ev = P.scratch("u long, kind string, k long")
+    viewers = P.lset("long")
+    failed = P.lset("long")
+    used = P.lset("u long, k long")
+    named = P.lset("k long, kind string")
+    best = P.lmap("string", "long", "lmax")
+    late = P.lmap("string", "boolean", "lbool")
+    bag = P.lbag("string")
+    low = P.lmin("long")
+    both = P.scratch("u long")
+    met = P.scratch("u long, kind string")
+    has = P.scratch("v boolean")
+    at = P.scratch("v long")
+    kinds = P.scratch("k string")
+    raised = P.scratch("k string, v long")
+    true_for = P.scratch("k string")
+    times = P.scratch("v long")
+    below = P.scratch("k string")
+
+    @P.rules
+    def fill(p):
+        p.viewers <= p.ev.where("kind = 'view'").select("u")
+        p.failed <= p.ev.where("kind = 'error'").select("u")
+        p.used <= p.ev.select("u", "k")
+        p.named <= p.ev.select("k", "kind")
+        p.best <= p.ev.select("kind", "k")
+        p.late <= p.ev.select("kind", (F.col("k") >= 98).alias("late"))
+        p.bag <= p.ev.group(["kind"], A.count())
+        p.low <= p.ev.select("k")
+
+    @P.rules
+    def read(p):
+        p.both <= p.viewers.intersect(p.failed)
+        p.met <= p.used.eqjoin(p.named, {"k": "k"}, L["u"], R["kind"])
+        p.has <= p.viewers.contains(1)
+        p.at <= p.best.at("view")
+        p.kinds <= p.best.key_set()
+        p.raised <= p.best.apply_values(lambda v: v * 2 + 1)
+        p.true_for <= p.late.filter_true().key_set()
+        p.times <= p.bag.multiplicity("view")
+        p.below <= p.low.lt(5).when_true(p.best.key_set())
+
+
+def _maps(spark, d) -> _Maps:
+    p = _Maps(spark)
+    p.tick({"ev": t(spark, d, "events").select("user_id", "event_type", json_long(F.col("props"), "k")).distinct()})
+    return p
+
+
+@query("SELECT user_id AS u FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
+def lset_intersect(spark, d):
+    return _maps(spark, d).both.df()
+
+
+@query(f"SELECT DISTINCT u, kind FROM (SELECT DISTINCT user_id AS u, {_K} AS k FROM events) JOIN (SELECT DISTINCT {_K} AS k, event_type AS kind FROM events) USING (k)")
+def lset_eqjoin(spark, d):
+    return _maps(spark, d).met.df()
+
+
+@query("SELECT count(*) > 0 AS v FROM events WHERE event_type = 'view' AND user_id = 1")
+def lset_contains(spark, d):
+    return _maps(spark, d).has.df()
+
+
+@query(f"SELECT max({_K}) AS v FROM events WHERE event_type = 'view' HAVING count(*) > 0")
+def lmap_at(spark, d):
+    return _maps(spark, d).at.df()
+
+
+@query("SELECT DISTINCT event_type AS k FROM events")
+def lmap_key_set(spark, d):
+    return _maps(spark, d).kinds.df()
+
+
+@query(f"SELECT event_type AS k, max({_K}) * 2 + 1 AS v FROM events GROUP BY 1")
+def lmap_apply(spark, d):
+    return _maps(spark, d).raised.df()
+
+
+@query(f"SELECT event_type AS k FROM events GROUP BY 1 HAVING bool_or({_K} >= 98)")
+def lmap_filter(spark, d):
+    return _maps(spark, d).true_for.df()
+
+
+@query(f"SELECT count(*) AS v FROM (SELECT DISTINCT user_id, {_K} FROM events WHERE event_type = 'view')")
+def lbag_multiplicity(spark, d):
+    return _maps(spark, d).times.df()
+
+
+@query(f"SELECT DISTINCT event_type AS k FROM events WHERE (SELECT min({_K}) FROM events) < 5")
+def lmin_when_true(spark, d):
+    return _maps(spark, d).below.df()
+
+
 # --- events and channels ---------------------------------------------------------------------------------------------------------
 
 
@@ -684,21 +807,68 @@ def _mail(spark, d) -> _Mail:
     keep = lambda name, df: (df.where("kind <> 'view'"), None)
     p = _Mail(spark, address="here", channel_filter=keep)
     e = t(spark, d, "events")
-    p.insert("chn", e.select(F.when(F.col("user_id") % 2 == 0, "here").otherwise("there"), "event_id", "event_type"))
+    p.insert("chn", e.select(F.when(F.col("value") > 100, "here").otherwise("there"), "event_id", "event_type"))
     p.run()
     return p
 
 
-@query("SELECT event_id AS id, event_type AS kind FROM events WHERE user_id % 2 = 0 AND event_type <> 'view'")
+@query("SELECT event_id AS id, event_type AS kind FROM events WHERE value > 100 AND event_type <> 'view'")
 def channel_filter(spark, d):
     return _mail(spark, d).got.df()
 
 
-@query("SELECT event_id AS id FROM events WHERE user_id % 2 = 0 AND event_type = 'error'")
+@query("SELECT event_id AS id FROM events WHERE value > 100 AND event_type = 'error'")
 def loopback_count(spark, d):
     return _mail(spark, d).back.df()
 
 
+class _Ask(P.Program):
+    """Requests are joined with what is held, and answers go back to who asked."""
+
+    known = P.table("k int", "name string")
+    request = P.channel("@addr string, id long, sender string", "k int")
+    response = P.channel("@addr string, id long", "name string")
+    got = P.table("id long", "name string")
+
+    @P.rules
+    def answer(p):
+        p.response.async_((p.request * p.known).pairs({"k": "k"}, L["sender"], L["id"], R["name"]))
+        p.got <= p.response.payloads()
+
+
+@query("SELECT c_custkey AS id, n_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def request_response(spark, d):
+    p = _Ask(spark, address="here")
+    p.tick({"known": t(spark, d, "nation").select("n_nationkey", "n_name")})
+    p.insert("request", t(spark, d, "customer").select(F.lit("here"), F.col("c_custkey").cast("long"), F.lit("here"), F.col("c_nationkey").cast("int")))
+    p.run()
+    return p.got.df()
+
+
+class _Queue(P.Program):
+    """One row leaves in each step: the least."""
+
+    waiting = P.table("k long, v string")
+    head = P.scratch("k long, v string")
+    served = P.table("k long, v string, step long")
+
+    @P.rules
+    def serve(p):
+        p.head <= p.waiting.argmin([], "k")
+        p.waiting.delete_(p.head)
+        p.served <= p.head.apply(lambda df: df.withColumn("step", F.lit(p.step).cast("long")), True)
+
+
+@query("SELECT CAST(r_regionkey AS bigint) AS k, r_name AS v, row_number() OVER (ORDER BY r_regionkey) - 1 AS step FROM region")
+def queue_serial(spark, d):
+    p = _Queue(spark)
+    rows = t(spark, d, "region").select("r_regionkey", "r_name")
+    p.tick({"waiting": rows})
+    for _ in range(rows.count() - 1):
+        p.tick()
+    return p.served.df()
+
+
 @query("SELECT time_bucket(INTERVAL 1 day, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def window_tumbling(spark, d):
     return batches.tumbling(t(spark, d, "events"), "ts", "1 day", ["event_type"], F.count(F.lit(1)).alias("n")).select("start", "event_type", "n")
@@ -713,7 +883,11 @@ def window_sessions(spark, d):
 # --- analysis ----------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH RECURSIVE e(lhs, body, neg, temporal) AS (VALUES ('hi', 'ev', false, false), ('users', 'ev', false, false), ('nums', 'ev', false, false), ('left', 'ev', true, false),
+('right', 'ev', true, false), ('best', 'ev', false, false), ('other', 'ev', false, false), ('n_users', 'users', false, false), ('pos', 'nums', false, false), ('bag_sum', 'left', false, false),
+('bag_sum', 'right', false, false), ('bag_both', 'left', false, false), ('bag_both', 'right', false, false), ('common', 'best', false, false), ('common', 'other', false, false),
+('per_mod', 'users', false, false), ('quorum', 'users', false, false)), tc AS (SELECT lhs, body, body AS via, neg, temporal FROM e
+UNION SELECT e.lhs, tc.body, e.body, e.neg OR tc.neg, e.temporal OR tc.temporal FROM e JOIN tc ON e.body = tc.lhs) SELECT * FROM tc""")
 def dep_tc(spark, d):
     from strata import analysis
 
@@ -721,14 +895,18 @@ def dep_tc(spark, d):
     return analysis.dependency_closure(spark.createDataFrame([(x.rule, x.lhs, x.op, x.body, x.nm) for x in p.depends()], analysis.DEPENDS), p.storage)
 
 
-@query()
+@query("""SELECT predicate, CAST(CASE WHEN predicate IN ('fresh', 'log') THEN 1 ELSE 0 END AS bigint) AS stratum
+FROM (VALUES ('incoming'), ('latest'), ('total'), ('gone'), ('seen'), ('fresh'), ('log'), ('halt')) x(predicate)""")
 def strata(spark, d):
     from strata import analysis
 
     return analysis.reflect(_Ledger(spark))["t_stratum"]
 
 
-@query()
+@query("""WITH RECURSIVE e(body, head, tag, op) AS (VALUES ('chn', 'got', 'M', '<='), ('chn', 'loop', 'A', '<~'), ('loop', 'back', 'M', '<=')),
+p AS (SELECT body AS "from", head AS "to", [body, head] AS path, tag, op AS lastop FROM e
+UNION SELECT p."from", e.head, list_append(p.path, e.head), least(p.tag, e.tag), e.op FROM p JOIN e ON p."to" = e.body WHERE NOT list_contains(p.path, e.head))
+SELECT *, CAST(len(path) AS integer) AS len FROM p""")
 def path_labels(spark, d):
     from strata import analysis
 
