@@ -874,6 +874,11 @@ def window_tumbling(spark, d):
     return batches.tumbling(t(spark, d, "events"), "ts", "1 day", ["event_type"], F.count(F.lit(1)).alias("n")).select("start", "event_type", "n")
 
 
+@query("SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 hours, ts), time_bucket(INTERVAL 12 hours, ts) - INTERVAL 12 hours]) AS start FROM events) GROUP BY 1, 2")
+def window_sliding(spark, d):
+    return batches.sliding(t(spark, d, "events"), "ts", "1 day", "12 hours", ["event_type"], F.count(F.lit(1)).alias("n")).select("start", "event_type", "n")
+
+
 @query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
 FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 hours THEN 0 ELSE 1 END AS g FROM events)) GROUP BY user_id, s""")
 def window_sessions(spark, d):
