@@ -12,8 +12,9 @@ that band and drops out before sets are compared.
 Sets that are equal are one class from the start (by two 64-bit sums of hashes and the size). Segments that only one class has
 are dropped by the exchange of _repeats. Classes that share a segment, directly or through others, form candidate groups; a
 group's sets meet in one task, or in tasks for pairs of blocks where it is large, and there a short sketch of each set bounds
-the symmetric difference of a pair from below before the sets themselves are intersected. Pairs that are already connected
-aren't looked at again: a task returns a spanning forest of true links.
+the symmetric difference of a pair from below before the sets themselves are intersected. Every pair that the bound leaves is
+intersected, and a task returns the number of links of each class, weighted by the other's rows, beside a spanning forest of
+them. Where only components are wanted (count=False), pairs that are already connected aren't looked at again.
 
 Words are maximal runs of bytes other than 0x20 and 0x09 to 0x0D, with A-Z in lower case. A document with fewer words than n has
 its whole sequence as its one n-gram; one without words or text has an empty set and links with nothing. Rows with a null key
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from strata.llm._common import U64, by_task, lower_ascii, mix64, rolling, row_of, stored, text_buffer, word_hashes, words
 from strata.llm._repeats import SENT, answer, answered, by_part, cogroup, marks, send, within
-from strata.llm.connected import components
+from strata.llm.connected import UnionFind, components
 
 #: N-grams of the sets of one verifying task (8 bytes each), and bits of the short sketches there.
 TASK_NGRAMS, SHORT_BITS = 1 << 20, 2048
@@ -53,6 +54,12 @@ def ngram_sets(column: pa.Array | pa.ChunkedArray, n: int) -> tuple[np.ndarray,
     return np.concatenate(out) if out else np.zeros(0, U64), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def class_sums(grams: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums of hashes of each set; with its size, they name the set."""
+    sums = [np.concatenate([[U64(0)], np.cumsum(mix64(grams ^ U64(c)), dtype=U64)]) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+    return [(x[offsets[1:]] - x[offsets[:-1]]).view(np.int64) for x in sums]
+
+
 class Bands:
     """Size bands for Jaccard similarity >= num / den."""
 
@@ -145,8 +152,39 @@ def verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int
     return out
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id", task_ngrams: int = TASK_NGRAMS) -> DataFrame:
-    """key, n_shingles and component_id (the least key that it reaches over links of similarity >= num / den) for each row."""
+def count_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, copies: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each set, the copies of those that it links with over the pairs of left and right rows, and a spanning forest of the links."""
+    sizes, sketches = np.array([len(x) for x in sets], np.int64), np.array([short_sketch(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros(len(names), bool)
+    count, joined, out = np.zeros(len(sets), np.int64), UnionFind(len(sets)), []
+    same = left is right
+    for x, i in enumerate(left):
+        others = right[x + 1 :] if same else right
+        a, b = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
+        others = others[a * den >= b * num]
+        if not len(others):
+            continue
+        apart = np.bitwise_count(sketches[others] ^ sketches[i]).sum(1)
+        others = others[apart * (den + num) <= (sizes[i] + sizes[others]) * (den - num)]
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        held[own] = True
+        # As many sets at once as TASK_NGRAMS n-grams hold.
+        for some in np.split(others, np.flatnonzero(np.diff(np.cumsum(sizes[others]) // TASK_NGRAMS)) + 1) if len(others) else ():
+            first = np.cumsum(sizes[some]) - sizes[some]
+            both = np.add.reduceat(held[ids[np.arange(sizes[some].sum()) + np.repeat(starts[some] - first, sizes[some])]], first, dtype=np.int64)
+            linked = some[both * den >= num * (sizes[i] + sizes[some] - both)]
+            count[i] += copies[linked].sum()
+            count[linked] += copies[i]
+            out += [(int(i), j) for j in linked.tolist() if joined.union(int(i), j)]
+        held[own] = False
+    return count, out
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id", task_ngrams: int = TASK_NGRAMS, count: bool = True) -> DataFrame:
+    """key, n_shingles, component_id (the least key that it reaches over links of similarity >= num / den) and, unless count is
+    False, n_links (the other rows that it has such a link with) for each row."""
     spark = docs.sparkSession
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -155,36 +193,43 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, te
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
                 grams, offsets = ngram_sets(batch.column(1), n)
-                sums = [np.concatenate([[U64(0)], np.cumsum(mix64(grams ^ U64(c)), dtype=U64)]) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                a, b = (((x[offsets[1:]] - x[offsets[:-1]]).view(np.int64)) for x in sums)
-                yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets)), pa.array(a), pa.array(b)], names=["key", "n", "a", "b"])
+                yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets)), *map(pa.array, class_sums(grams, offsets))], names=["key", "n", "a", "b"])
 
     members = stored(docs.select(docs[key].cast("long"), docs[text].cast("string")).mapInArrow(summarise, "key long, n long, a long, b long"), "members")
-    classes = stored(members.where("n > 0 AND key IS NOT NULL").groupBy("n", "a", "b").agg(F.min("key").alias("rep")), "classes")
+    classes = members.where("n > 0 AND key IS NOT NULL").groupBy("n", "a", "b").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     largest = classes.agg(F.max("n")).first()[0] or 1
     bands = Bands(num, den, largest)
 
     own, n_parts = by_part(docs, key, text)
     part = F.pmod(F.xxhash64("rep"), F.lit(n_parts)).cast("int")
-    reps = classes.select(part.alias("part"), "rep")
+    reps = classes.select(part.alias("part"), "rep", "n", "a", "b", "copies", "id")
 
-    def sets_of(t: pa.Table, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys, n-grams and offsets of the classes' documents: of rows that repeat a key, each distinct text."""
-        t = t.filter(pa.compute.is_in(t.column("key"), pa.array(wanted))).combine_chunks()
+    def sets_of(t: pa.Table, r: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of r, n-grams and offsets of the classes, each from one document: a key that repeats may stand for several."""
+        t = t.filter(pa.compute.is_in(t.column("key"), r.column("rep").combine_chunks())).combine_chunks()
         grams, offsets = ngram_sets(t.column("text"), n)
-        return t.column("key").to_numpy().astype(np.int64), grams, offsets
+        place = {c: i for i, c in enumerate(zip(*(r.column(x).to_pylist() for x in ("rep", "n", "a", "b"))))}
+        found = zip(t.column("key").to_pylist(), np.diff(offsets).tolist(), *(x.tolist() for x in class_sums(grams, offsets)))
+        at = np.array([place.pop(c, -1) for c in found], np.int64)
+        use = np.flatnonzero(at >= 0)
+        if len(use) < len(at):
+            parts = [grams[offsets[i] : offsets[i + 1]] for i in use]
+            grams, offsets = np.concatenate([np.zeros(0, U64), *parts]), np.cumsum([0, *map(len, parts)])
+        return at[use], grams, offsets
 
     def emit(t: pa.Table, r: pa.Table) -> pa.Table:
-        _, grams, offsets = sets_of(t, r.column("rep").to_numpy())
+        _, grams, offsets = sets_of(t, r)
         keys = sketch_keys(grams, offsets, bands)[0]
         return send(t.column("part")[0].as_py() if t.num_rows else 0, keys, None, n_parts)
 
     answers = answer(cogroup(own, reps, emit, SENT))
-    both = answers.select("part", F.lit(None).cast("long").alias("rep"), "bucket", "rests").unionByName(reps.select("part", "rep", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("rests")))
+    both = answers.unionByName(reps, allowMissingColumns=True)
 
     def candidates(t: pa.Table, r: pa.Table) -> pa.Table:
         found = answered(r.filter(pa.compute.is_valid(r.column("bucket"))))
-        doc, grams, offsets = sets_of(t, r.column("rep").drop_null().to_numpy() if len(found) else np.zeros(0, np.int64))
+        own_classes = r.filter(pa.compute.is_valid(r.column("id"))).slice(0, None if len(found) else 0)
+        place, grams, offsets = sets_of(t, own_classes)
         keys, rows, sketch, need = sketch_keys(grams, offsets, bands)
         own_marks = marks(keys, n_parts)
         hit = within(own_marks, found)
@@ -194,40 +239,50 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, te
         rows, own_marks = rows[order], own_marks[order].view(np.int64)
         at, first = np.unique(rows, return_index=True)
         ends = np.append(first, len(rows))
+        about = own_classes.select(["id", "rep", "copies", "n"]).take(pa.array(place[at]))
         return pa.table({
-            "rep": pa.array(doc[at]), "n": pa.array(np.diff(offsets)[at]),
+            **{c: about.column(c) for c in about.column_names},
             "grams": pa.array([grams[offsets[i] : offsets[i + 1]].tobytes() for i in at], pa.binary()),
             "keys": pa.array([own_marks[a:b] for a, b in zip(ends, ends[1:])], pa.list_(pa.int64())),
         })
 
-    found = stored(cogroup(own, both, candidates, "rep long, n long, grams binary, keys array<long>"), "candidates")
+    found = stored(cogroup(own, both, candidates, "id long, rep long, copies long, n long, grams binary, keys array<long>"), "candidates")
 
     # Candidate groups: every class with the least class that shares a segment with it.
-    emitted = found.select("rep", F.explode("keys").alias("k"))
-    least = emitted.groupBy("k").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("k", "least")
-    groups = components(emitted.join(least, "k").where("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    grouped = found.select("rep", "n", "grams").join(groups.select(F.col("node").alias("rep"), F.col("component_id").alias("group")), "rep")
+    emitted = found.select("id", F.explode("keys").alias("k"))
+    least = emitted.groupBy("k").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("k", "least")
+    groups = components(emitted.join(least, "k").where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    grouped = found.select("id", "rep", "copies", "n", "grams").join(groups.select(F.col("node").alias("id"), F.col("component_id").alias("group")), "id")
     sizes = grouped.groupBy("group").agg(F.sum("n").alias("total")).select("group", F.ceil(F.col("total") / task_ngrams).cast("int").alias("blocks"))
     tasks = (
         grouped.join(sizes, "group")
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "grams")
+        .select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "rep", "copies", "grams")
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_task(batches, ["group", "low", "high"]):
             sets = [np.frombuffer(x, U64) for x in t.column("grams").to_pylist()]
-            rep, block = t.column("rep").to_numpy(), t.column("own").to_numpy()
+            ids, rep, copies, block = (t.column(c).to_numpy() for c in ("id", "rep", "copies", "own"))
             low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
             left = np.flatnonzero(block == low)
             right = left if low == high else np.flatnonzero(block == high)
-            edges = np.array(verify(sets, left, right, num, den), np.int64).reshape(-1, 2)
-            yield pa.record_batch([pa.array(rep[edges[:, 0]]), pa.array(rep[edges[:, 1]])], names=["a", "b"])
-
-    links = tasks.repartition(n_tasks, "group", "low", "high").sortWithinPartitions("group", "low", "high", "rep").mapInArrow(work, "a long, b long")
-    ends = components(links)
-    of_class = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component_id", "rep").alias("component_id"))
-    linked = members.where("n > 0 AND key IS NOT NULL").join(of_class, ["n", "a", "b"]).select("key", "n", "component_id")
-    rest = members.where("n = 0 OR key IS NULL").select("key", "n", F.col("key").alias("component_id"))
-    return linked.unionByName(rest).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+            n_links, edges = count_links(sets, left, right, copies, num, den) if count else (np.zeros(len(sets), np.int64), verify(sets, left, right, num, den))
+            linked, edges = np.flatnonzero(n_links), np.array(edges, np.int64).reshape(-1, 2)
+            a, b = np.concatenate([ids[linked], rep[edges[:, 0]]]), np.concatenate([np.full(len(linked), -1), rep[edges[:, 1]]])
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.concatenate([n_links[linked], np.full(len(edges), -1)]))], names=["a", "b", "n"])
+
+    work_tasks = tasks.repartition(n_tasks, "group", "low", "high").sortWithinPartitions("group", "low", "high", "id")
+    links = stored(work_tasks.mapInArrow(work, "a long, b long, n long"), "links")
+    # A key with several classes links them: an edge to the least key of each.
+    keyed, one = members.where("n > 0 AND key IS NOT NULL"), F.struct("n", "a", "b")
+    repeated = keyed.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low < high").select("key")
+    same_key = keyed.join(repeated, "key").join(classes, ["n", "a", "b"]).select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    ends = components(links.where("n < 0").select("a", "b").unionByName(same_key))
+    counts = links.where("n >= 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
+    of_class = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "id", "left")
+    of_class = of_class.select("n", "a", "b", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = keyed.join(of_class, ["n", "a", "b"]).select("key", "n", "component_id", "n_links")
+    rest = members.where("n = 0 OR key IS NULL").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(rest).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", *(["n_links"] if count else []))

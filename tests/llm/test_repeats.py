@@ -106,6 +106,40 @@ def test_jaccard(spark, seed, n, num, den, cut):
     assert len({x[2] for x in want}) < len(want) - 60
 
 
+def link_counts(docs, n, num, den):
+    """By definition: (key, other rows of similarity >= num / den) for each row."""
+    sets = []
+    for _, t in docs:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
+    count = [0] * len(docs)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and docs[i][0] is not None and docs[j][0] is not None and len(a & b) * den >= num * len(a | b):
+                count[i] += 1
+                count[j] += 1
+    return sorted((-1 if k is None else k, c) for (k, _), c in zip(docs, count))
+
+
+@pytest.mark.parametrize("n,num,den,cut", [(3, 9, 10, 1 << 20), (5, 8, 10, 1 << 20), (3, 9, 10, 2000)])
+def test_jaccard_counts_every_link(spark, n, num, den, cut):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    docs = corpus(120, 5, 120)
+    for i in range(40):  # a group of near copies, some of them equal, far more links than a forest has
+        w = list(base)
+        for _ in range(i % 3):
+            w[rng.randrange(len(w))] = "other"
+        docs.append((3000 + i, " ".join(w)))
+    docs.append((3000, " ".join([*base[:-1], "last"])))  # a key whose two texts are near copies
+    docs += [(4000, " ".join(f"y{i}" for i in range(80))), (4000, " ".join(f"y{i}" for i in range(81)))]  # and link with nothing else
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_links) for r in jaccard.jaccard_classes(frame(spark, docs), n, num, den, task_ngrams=cut).collect())
+    want = link_counts(docs, n, num, den)
+    assert got == want
+    assert sum(c for _, c in want) > 4 * len(docs)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(frame(spark, [(1, "a")]).limit(0)).count() == 0
     assert jaccard.jaccard_classes(frame(spark, [(1, None), (2, "")])).count() == 2
