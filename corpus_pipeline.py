@@ -28,10 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of least doc_id. Documents without words, or id, stay."""
-    classes = jaccard.jaccard_classes(docs, NGRAM, NUM, DEN, count=False)
-    others = classes.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates: that of least doc_id. Rows without words, or id, stay."""
+    return jaccard.drop_near_copies(docs, NGRAM, NUM, DEN).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

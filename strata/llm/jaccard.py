@@ -14,11 +14,12 @@ are dropped by the exchange of _repeats. Classes that share a segment, directly
 group's sets meet in one task, or in tasks for pairs of blocks where it is large, and there a short sketch of each set bounds
 the symmetric difference of a pair from below before the sets themselves are intersected. Every pair that the bound leaves is
 intersected, and a task returns the number of links of each class, weighted by the other's rows, beside a spanning forest of
-them. Where only components are wanted (count=False), pairs that are already connected aren't looked at again.
+them. Where only components are wanted (drop_near_copies), pairs that are already connected aren't looked at again.
 
 Words are maximal runs of bytes other than 0x20 and 0x09 to 0x0D, with A-Z in lower case. A document with fewer words than n has
 its whole sequence as its one n-gram; one without words or text has an empty set and links with nothing. Rows with a null key
-link with nothing and have a null component. Rows that repeat a key link through it. An empty table gives an empty result."""
+link with nothing and have a null component. Rows that repeat a key are in one component through it, whatever their classes, in
+jaccard_classes; drop_near_copies goes by row. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -29,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strata.llm._common import U64, by_task, lower_ascii, mix64, rolling, row_of, stored, text_buffer, word_hashes, words
 from strata.llm._repeats import SENT, answer, answered, by_part, cogroup, marks, send, within
@@ -182,9 +184,10 @@ def count_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, cop
     return count, out
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id", task_ngrams: int = TASK_NGRAMS, count: bool = True) -> DataFrame:
-    """key, n_shingles, component_id (the least key that it reaches over links of similarity >= num / den) and, unless count is
-    False, n_links (the other rows that it has such a link with) for each row."""
+def linked_classes(docs: DataFrame, n: int, num: int, den: int, text: str, key: str, task_ngrams: int, count: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members: key, n, a and b (which name the class) of each row. Classes: n, a, b, rep (the least key), copies (rows) and id.
+    Links: a spanning forest of links of similarity >= num / den as ids a and b and keys rep_a and rep_b, where n < 0; if count,
+    also, where n >= 0, that class a links with n rows of other classes."""
     spark = docs.sparkSession
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -270,19 +273,55 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, te
             right = left if low == high else np.flatnonzero(block == high)
             n_links, edges = count_links(sets, left, right, copies, num, den) if count else (np.zeros(len(sets), np.int64), verify(sets, left, right, num, den))
             linked, edges = np.flatnonzero(n_links), np.array(edges, np.int64).reshape(-1, 2)
-            a, b = np.concatenate([ids[linked], rep[edges[:, 0]]]), np.concatenate([np.full(len(linked), -1), rep[edges[:, 1]]])
-            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.concatenate([n_links[linked], np.full(len(edges), -1)]))], names=["a", "b", "n"])
+            ends = np.concatenate([np.column_stack([linked, linked]), edges])
+            n_of = np.concatenate([n_links[linked], np.full(len(edges), -1)])
+            yield pa.record_batch([*(pa.array(x[ends[:, side]]) for x in (ids, rep) for side in (0, 1)), pa.array(n_of)], names=["a", "b", "rep_a", "rep_b", "n"])
 
     work_tasks = tasks.repartition(n_tasks, "group", "low", "high").sortWithinPartitions("group", "low", "high", "id")
-    links = stored(work_tasks.mapInArrow(work, "a long, b long, n long"), "links")
+    return members, classes, stored(work_tasks.mapInArrow(work, "a long, b long, rep_a long, rep_b long, n long"), "links")
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id", task_ngrams: int = TASK_NGRAMS) -> DataFrame:
+    """key, n_shingles, component_id (the least key that it reaches over links of similarity >= num / den) and n_links (the other
+    rows that it has such a link with) for each row."""
+    members, classes, links = linked_classes(docs, n, num, den, text, key, task_ngrams, count=True)
     # A key with several classes links them: an edge to the least key of each.
     keyed, one = members.where("n > 0 AND key IS NOT NULL"), F.struct("n", "a", "b")
     repeated = keyed.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low < high").select("key")
     same_key = keyed.join(repeated, "key").join(classes, ["n", "a", "b"]).select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    ends = components(links.where("n < 0").select("a", "b").unionByName(same_key))
+    ends = components(links.where("n < 0").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(same_key))
     counts = links.where("n >= 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     of_class = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "id", "left")
     of_class = of_class.select("n", "a", "b", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = keyed.join(of_class, ["n", "a", "b"]).select("key", "n", "component_id", "n_links")
     rest = members.where("n = 0 OR key IS NULL").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(rest).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", *(["n_links"] if count else []))
+    return linked.unionByName(rest).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id", task_ngrams: int = TASK_NGRAMS) -> DataFrame:
+    """docs with one row of each group of rows that reach each other over links of similarity >= num / den: that of the least key,
+    and of equal keys the least class and row. Rows without words or key stay. What a row's key is elsewhere links nothing here."""
+    members, classes, links = linked_classes(docs, n, num, den, text, key, task_ngrams, count=False)
+    ends = components(links.where("n < 0").select("a", "b"))
+    groups = classes.join(ends.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("component_id", "id").alias("group"))
+    kept = stored(groups.agg(F.min(F.struct(F.col("rep").alias("key"), "n", "a", "b")).alias("one")).select("one.*"), "kept")
+    keyed = members.where("key IS NOT NULL")
+    repeated = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), "repeated")
+    gone = keyed.where("n > 0").join(kept, "key", "left_anti").select("key")
+    once = docs.join(gone.unionByName(repeated).distinct().withColumnRenamed("key", key), key, "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return once
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                batch = whole.slice(begin, 512)
+                grams, offsets = ngram_sets(batch.column(batch.schema.get_field_index(text)), n)
+                yield pa.record_batch([*batch.columns, pa.array(np.diff(offsets)), *map(pa.array, class_sums(grams, offsets))], names=[*batch.schema.names, "_n", "_a", "_b"])
+
+    # Rows of a key that repeats are told apart by their class.
+    again = docs.join(repeated.withColumnRenamed("key", key), key, "left_semi").select(*docs.columns)
+    again = stored(again.mapInArrow(classify, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("_n", "_a", "_b"))])), "again")
+    own = [key, "_n", "_a", "_b"]
+    best = again.join(kept.toDF(*own), own, "left_semi").groupBy(*own).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return once.unionByName(best).unionByName(again.where("_n = 0").select(*docs.columns))

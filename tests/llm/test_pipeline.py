@@ -64,3 +64,12 @@ def test_stages_on_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    """A repeated doc_id drops neither a distinct text nor keeps a copy."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = [(3, a), (7, a + " end"), (7, b), (8, c), (8, c), (8, c.upper()), (9, b + " end"), (10, ""), (10, ""), (10, "10 10"), (None, a), (None, a)]
+    frame = spark.createDataFrame([(k, t, "en", "x", len(t)) for k, t in docs], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = sorted((r.doc_id or 0, r.text) for r in cp.near_duplicates(spark, frame, SF).collect())
+    assert got in [sorted([(3, a), (7, b), (8, x), (10, ""), (10, ""), (10, "10 10"), (0, a), (0, a)]) for x in (c, c.upper())]

@@ -140,6 +140,14 @@ def test_jaccard_counts_every_link(spark, n, num, den, cut):
     assert sum(c for _, c in want) > 4 * len(docs)
 
 
+def test_a_repeated_key_links_its_classes(spark):
+    """Also where the key is the least of none, or only of one, of its classes."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = [(3, a), (7, a), (7, b), (5, c), (9, b + " end"), (9, c)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(frame(spark, docs), 3, 9, 10).collect())
+    assert got == classes(docs, 3, 9, 10) and {x[2] for x in got} == {3}
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(frame(spark, [(1, "a")]).limit(0)).count() == 0
     assert jaccard.jaccard_classes(frame(spark, [(1, None), (2, "")])).count() == 2
