@@ -1,8 +1,9 @@
 """Language identification by language-bitmask n-gram filters.
 
 Training gathers the n-grams of four bytes (letters in lower case, everything else a blank) that are frequent in each
-language and puts them into one bit-sliced Bloom filter: every row of the filter is a mask with one bit for each language, and
-the AND of an n-gram's rows gives all languages that contain it, in one probe for all languages. Prediction counts the bits of
+language and puts them into one bit-sliced Bloom filter: every row of the filter is a mask with one bit for each language, in
+as many words of 64 bits as the languages need, and the AND of an n-gram's rows gives all languages that contain it, in one
+probe for all languages of a word. Prediction counts the bits of
 each language over all n-grams of the whole text, corrects each share for that language's rate of false positives (which
 follows from how full its slice is), and takes the language with the largest corrected share; that share is the score.
 
@@ -28,7 +29,8 @@ SAMPLE_ROWS = 3000
 MIN_SHARE = 1e-5
 #: Rows of the filter, and probes for each n-gram.
 ROWS_LOG2, PROBES = 20, 2
-MAX_LANGUAGES = 64
+#: Languages of a word of the masks.
+WORD = 64
 UNDETERMINED = "und"
 
 _LETTERS = np.full(256, 0x20, np.uint8)
@@ -69,7 +71,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    rows: np.ndarray  # a mask of languages in each row
+    rows: np.ndarray  # for each word of the masks, that of each row
     default: int
     rates: np.ndarray  # of false positives, for each language
 
@@ -77,14 +79,12 @@ class LanguageFilter:
     def build(cls, found: dict[str, np.ndarray], default: str, log2: int = ROWS_LOG2) -> LanguageFilter:
         """found: the n-grams of each language."""
         languages = sorted(found)
-        if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= len(languages))
-        rows = np.zeros(1 << log2, kind)
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= min(len(languages), WORD))
+        rows = np.zeros((-(-len(languages) // WORD), 1 << log2), kind)
         for i, name in enumerate(languages):
             for at in cls._at(found[name], log2):
-                rows[at] |= kind(1 << i)
-        full = np.array([((rows >> kind(i)) & kind(1)).mean() for i in range(len(languages))])
+                rows[i // WORD][at] |= kind(1 << i % WORD)
+        full = np.array([((rows[i // WORD] >> kind(i % WORD)) & kind(1)).mean() for i in range(len(languages))])
         return cls(languages, rows, languages.index(default), full**PROBES)
 
     @staticmethod
@@ -92,22 +92,25 @@ class LanguageFilter:
         h = mix64(values.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(1))
         return [((h >> U64(31 * i)) & U64((1 << log2) - 1)).astype(np.int64) for i in range(PROBES)]
 
-    def masks(self, values: np.ndarray) -> np.ndarray:
-        """The languages that contain each n-gram."""
-        first, *more = self._at(values, len(self.rows).bit_length() - 1)
-        out = self.rows[first]
+    def masks(self, values: np.ndarray, word: int = 0) -> np.ndarray:
+        """The languages that contain each n-gram, of those in this word."""
+        rows = self.rows[word]
+        first, *more = self._at(values, len(rows).bit_length() - 1)
+        out = rows[first]
         for at in more:
-            out &= self.rows[at]
+            out &= rows[at]
         return out
 
     def shares(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each row and language, the share of the row's n-grams in the language, corrected for false positives."""
         values, at = grams(data, offsets)
-        masks, n = self.masks(values), np.maximum(np.diff(at), 1)
+        n = np.maximum(np.diff(at), 1)
         out = np.empty((len(offsets) - 1, len(self.languages)))
-        sums = np.zeros(len(masks) + 1, np.int32)
+        sums = np.zeros(len(values) + 1, np.int32)
         for i in range(len(self.languages)):
-            np.cumsum((masks >> masks.dtype.type(i)) & masks.dtype.type(1), dtype=np.int32, out=sums[1:])
+            if i % WORD == 0:
+                masks = self.masks(values, i // WORD)
+            np.cumsum((masks >> masks.dtype.type(i % WORD)) & masks.dtype.type(1), dtype=np.int32, out=sums[1:])
             out[:, i] = ((sums[at[1:]] - sums[at[:-1]]) / n - self.rates[i]) / (1 - self.rates[i])
         return np.clip(out, 0, 1)
 
@@ -116,12 +119,12 @@ def train(docs: DataFrame, teach: Column, text: str = "text", lang: str = "lang"
     """A filter from those rows of docs for which `teach` is true. The rows of a language are sampled by a hash of their key."""
     spark = docs.sparkSession
     rows = docs.where(teach & F.col(lang).isNotNull())
-    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(MAX_LANGUAGES + 1).collect()}
+    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_rows / n))))
+    shares = spark.createDataFrame(pa.table({"_lang": pa.array(list(counts), pa.string()), "_share": pa.array([min(1.0, sample_rows / n) for n in counts.values()])}))
     unit = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(unit < F.element_at(share, F.col(lang))).select(lang, F.col(text).cast("string"))
+    sample = rows.join(F.broadcast(shares), F.col(lang) == F.col("_lang")).where(unit < F.col("_share")).select(lang, F.col(text).cast("string"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -138,7 +141,8 @@ def train(docs: DataFrame, teach: Column, text: str = "text", lang: str = "lang"
     folder_total = each.groupBy("lang").agg(F.sum("n").alias("total"))
     # At most 1 / MIN_SHARE n-grams of a language can each have MIN_SHARE of them.
     kept = each.join(F.broadcast(folder_total), "lang").where((F.col("n") >= F.col("total") * MIN_SHARE) & (F.col("n") > 1)).select("lang", "gram").toPandas()
-    found = {k: kept.gram[kept.lang == k].to_numpy().astype(np.uint32) for k in counts}
+    of = dict(iter(kept.groupby("lang")["gram"]))
+    found = {k: of[k].to_numpy().astype(np.uint32) if k in of else np.zeros(0, np.uint32) for k in counts}
     return LanguageFilter.build(found, min(counts, key=lambda k: (-counts[k], k)))
 
 
@@ -147,7 +151,7 @@ def predict(docs: DataFrame, model: LanguageFilter | None, text: str = "text") -
     docs = docs.drop("lang_pred", "score")
     spark, names = docs.sparkSession, docs.columns
     place = names.index(text)
-    shared = spark.sparkContext.broadcast(model)  # 1 to 8 MB, whatever the input
+    shared = spark.sparkContext.broadcast(model)  # 1 to 8 MB for each 64 languages, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -175,3 +175,18 @@ def test_op10_on_a_table(spark):
     for c in {t.conv_id for t in turns}:
         roles = [numbers.get(t.role, 0) for t in turns if t.conv_id == c]
         assert sum(r[5] for r in out if r[0] == c) == chat.reduce_block(roles)[chat.START].min()
+
+
+def test_more_languages_than_a_word_of_the_masks(spark):
+    """150 labels, each with words of its own: as many as dirty or regional tags may be."""
+    def words(i, start):
+        return " ".join("".join("bcdfghjklm"[int(x)] + "aeiou"[(i + j) % 5] for j, x in enumerate(f"{i:03d}{n:02d}")) for n in range(start, start + 20))
+
+    rows = [(i * 4 + j, words(i, 10 * j), f"x{i:03d}") for i in range(150) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.col("doc_id") % 4 != 1)
+    assert len(model.languages) == 150 and len(model.rows) == 3
+    got = langid.predict(docs, model).collect()
+    assert len(got) == len(rows)
+    assert sum(r.lang_pred == r.lang for r in got) > 0.9 * len(rows)
+    assert {r.lang_pred for r in got} == set(model.languages)
