@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections.abc import Iterator
@@ -73,25 +74,12 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
 #: Bytes 0x20 and 0x09 to 0x0D end a word.
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-#: One random 64-bit value for each byte, and the odd base of the polynomial with its inverse.
+#: One random 64-bit value for each byte, for rolling hashes that only choose where texts are cut.
 _BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1); kept for later calls unless very long."""
-    out = _POWERS.get(base)
-    if out is None or len(out) < n:
-        out = np.full(max(n, (1 << 19) + 4096), base, U64)
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-        if len(out) <= 1 << 21:
-            _POWERS[base] = out
-    return out[:n]
+#: Words of up to so many bytes are hashed eight bytes at a time, all words at once; longer ones by a keyed hash of their own.
+_SHORT_WORD = 64
+_KEY = b"words of documents"
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -118,32 +106,58 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, in blocks so that few bytes of work memory are held for each byte of text."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: eight bytes after eight are mixed into the state by steps that aren't linear, so that no
+    regular pattern of letters collides. Blocks of words bound the work memory."""
     out = np.empty(len(starts), U64)
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + block)))
-        lo, hi = int(starts[at]), int(ends[stop - 1])
-        sums = np.zeros(hi - lo + 1, U64)
-        np.cumsum(_BYTE[data[lo:hi]] * _powers(_BASE, hi - lo), dtype=U64, out=sums[1:])
-        s, e = starts[at:stop] - lo, ends[at:stop] - lo
-        length = (e - s).astype(U64)
-        out[at:stop] = (sums[e] - sums[s]) * _powers(_BASE_INV, hi - lo + 1)[s] + length
-        at = stop
-    return mix64(out)
-
-
-def rolling(values: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each k consecutive values; one entry for each start with k values after it."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", wide, strides=(1,))  # the eight bytes from each byte on
+    for at in range(0, len(starts), block):
+        s = starts[at : at + block]
+        left = ends[at : at + block] - s
+        h = left.astype(U64) * U64(0x9E3779B97F4A7C15)
+        own, step = np.arange(len(s)), 0
+        while len(own):
+            n = left[own] - step
+            h[own] = mix64(h[own] * U64(0xD6E8FEB86659FD93) ^ (eight[s[own] + step] & _MASK[np.minimum(n, 8)]))
+            step += 8
+            own = own[(n > 8) & (left[own] <= _SHORT_WORD)]
+        out[at : at + block] = h
+    for i in np.flatnonzero(ends - starts > _SHORT_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=_KEY).digest(), "little")
+    return out
+
+
+def _fold(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of hashes, in that order: multiplications and shifts by turns, so not linear."""
+    out = left * U64(0xE7037ED1A0B428DB)
+    out ^= out >> U64(32)
+    out += right
+    out *= U64(0xBF58476D1CE4E5B9)
+    out ^= out >> U64(29)
+    return out
+
+
+def rolling(values: np.ndarray, k: int, seed: int = 1, block: int = 1 << 14) -> np.ndarray:
+    """A 64-bit hash of each k consecutive values; one entry for each start with k values after it.
+
+    Hashes of runs of 1, 2, 4, ... values are folded in pairs, so the work grows with the logarithm of k; blocks stay in cache."""
     n = len(values) - k + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    base, out = U64(mix64(np.array([seed], U64))[0] | U64(1)), np.zeros(n, U64)
-    for i in range(k):
-        out *= base
-        out += values[i : i + n]
-    return mix64(out)
+    out = np.empty(max(n, 0), U64)
+    salt = mix64(np.array([seed], U64))
+    for at in range(0, n, block):
+        m = min(block, n - at)
+        power, size, own, done = values[at : at + m + k - 1] ^ salt, 1, None, 0
+        while done < k:
+            if k & size:
+                tail = power[done : done + m]
+                own = tail if own is None else _fold(own, tail)
+                done += size
+            if done < k:
+                power = _fold(power[:-size], power[size:])
+                size *= 2
+        out[at : at + m] = mix64(own)
+    return out
 
 
 def row_of(first_word: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from strata.llm import catalogue, jaccard, substring
-from strata.llm._common import text_buffer, word_hashes, words
+from strata.llm._common import rolling, text_buffer, word_hashes, words
 from strata.llm.connected import UnionFind
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -192,3 +192,37 @@ def test_op3_and_op5_on_a_table(spark):
     assert got == {docs[i][0]: (*v[:2], hashlib.sha256(v[2].encode()).hexdigest()) for i, v in want.items()}
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in catalogue.op5_jaccard(spark, "/root/testdata/sf0.001").collect())
     assert got == classes(docs, 3, 9, 10)
+
+
+def thue_morse(n, zero="a", one="b"):
+    """The sequence of n letters whose pattern and complement collide in polynomial hashes modulo powers of two."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join((zero, one)[b] for b in bits), "".join((one, zero)[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [32, 64, 65, 1024, 4096])
+def test_regular_words_do_not_collide(spark, n):
+    """Words of two letters in a regular pattern: neither removed as a repeat nor linked."""
+    x, y = thue_morse(n)
+    docs = [(1, " ".join([x] * 40)), (2, " ".join([y] * 40)), (3, x), (4, y), (5, " ".join([x, y] * 20)), (6, " ".join([y, x] * 20)), (7, y)]
+    want = removed(docs, 20)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(frame(spark, docs)).collect())
+    assert got == sorted((docs[i][0], *v) for i, v in want.items())
+    rows = jaccard.jaccard_classes(frame(spark, docs), 3, 9, 10).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == classes(docs, 3, 9, 10)
+    assert sorted((r.doc_id, r.n_links) for r in rows) == link_counts(docs, 3, 9, 10)
+
+
+def test_rolling_names_each_run():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 4, 3000).astype(np.uint64)
+    for k in (1, 2, 3, 4, 5, 7, 10, 20, 33):
+        found = rolling(values, k, 2, block=100)
+        runs = [tuple(values[i : i + k].tolist()) for i in range(len(values) - k + 1)]
+        assert len(found) == len(runs) and len(set(zip(runs, found.tolist()))) == len(set(runs)) == len(set(found.tolist()))
+    assert len(rolling(values[:4], 5)) == 0
+
+
+def test_regular_runs_of_words_do_not_collide():
+    x, y = (np.array([ord(c) for c in t], np.uint64) for t in thue_morse(4096))
+    assert rolling(x, 4096, 7)[0] != rolling(y, 4096, 7)[0]
