@@ -1,6 +1,7 @@
 """op1, op7 and the component search against brute force."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 from hypothesis import given, settings
@@ -94,22 +95,64 @@ def test_op7_on_a_table(spark):
 
 def test_top_k_edges(spark):
     rows = [(0, [1.0, -1.0]), (50, [0.5]), (1, [1.0, -1.0]), (2, [1.0, -1.0]), (3, None), (4, [None]), (5, [float("nan"), 0.0]), (6, []), (None, [1.0, 1.0]), (7, [1e30, -1e30]), (100, [-3.0, -3.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    out = topk.top_k(df, df.vec_id % 50 == 0, 3, shard_rows=3).collect()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' AS own", "1L AS id", "2 AS rank", "array(0) AS v")
+    out = topk.top_k(df, df.vec_id % 50 == 0, 3, block_rows=3, block_queries=2).collect()
     of = {q: [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 50, 100)}
-    assert of[0] == [(7, 2 * 256 * topk.LIMIT), (1, 2 * 256**2), (2, 2 * 256**2)]
-    assert of[50][0][0] == 7 and [i for i, _ in of[50][1:]] == [0, 1]
+    assert of[0] == [(7, (1 << 63) - 1), (1, 2 * 256**2), (2, 2 * 256**2)]
+    assert of[50] == [(7, (1 << 63) - 1), (0, 128 * 256), (1, 128 * 256)]
     assert of[100] == [(0, 0), (1, 0), (2, 0)] and {r.query_id for r in out} == {0, 50, 100}
     assert topk.top_k(df.limit(0), df.vec_id % 50 == 0, 3).count() == 0
 
 
+def exact_best(rows, queries, k, scale=256):
+    """By definition, over (id, vector) rows as floats: (query id, rank, id, score) with scores beyond a long cut there after ranking."""
+    whole = [(i, [math.floor(Fraction(x) * scale) for x in v]) for i, v in rows]
+    out = []
+    for a in queries:
+        i, q = whole[a]
+        scored = sorted((-sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(whole) if b != a)[:k]
+        out += [(i, r + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, j) in enumerate(scored)]
+    return sorted(out)
+
+
+def test_large_components_are_exact(spark):
+    """Beyond 2**24 after scaling, beyond a long, beyond a double's product, beside small and fractional ones."""
+    rng = np.random.default_rng(6)
+    rows = [(0, [1.0, 1.0]), (1, [70000.0, 0.5]), (2, [80000.0, 0.5]), (3, [90000.0, 0.5]), (50, [2.0**40 + 0.25, 3.0]), (4, [1e300, 1e300]), (5, [1e300, 1.1e300]), (6, [-1e308, 1e308]), (7, [1.7e308, 0.0]), (100, [-1.5e308, 2.0])]
+    rows += [(200 + i, (rng.normal(size=2) * 10.0 ** rng.integers(-3, 25)).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.vec_id % 50 == 0, 5, block_rows=40).collect())
+    assert got == exact_best(rows, [a for a, (i, _) in enumerate(rows) if i % 50 == 0], 5)
+    assert [r[2] for r in exact_best(rows[:4], [0], 5)] == [3, 2, 1]
+
+
+def test_repeated_ids_are_queries_and_candidates_of_their_own(spark):
+    rows = [(0, [1.0]), (0, [1.0]), (0, [2.0]), (1, [3.0]), (50, [1.0]), (1, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.vec_id % 50 == 0, 3).collect())
+    assert got == exact_best(rows, [0, 1, 2, 4], 3)
+
+
+def test_sparse_postings_on_a_table(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, ((rng.random(12) < 0.2) * rng.normal(size=12)).tolist()[: rng.integers(0, 13)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.vec_id % 50 == 0, 5, block_rows=700, block_queries=20).collect())
+    assert got == exact_best(rows, range(0, 3000, 50), 5)
+
+
+def test_exact_bytes_sort_like_numbers():
+    numbers = [x * s for x in (0, 1, 255, 256, 1 << 63, (1 << 63) - 1, 1 << 700, (1 << 700) + 5) for s in (1, -1)]
+    assert sorted(set(numbers), key=topk.ordered_bytes) == sorted(set(numbers))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.integers(1, 40), st.integers(1, 6), st.integers(0, 1 << 30))
 def test_maxscore_is_exact(n, d, k, seed):
     rng = np.random.default_rng(seed)
     x, ids = rng.integers(-9, 10, (n, d)) * (rng.random((n, d)) < 0.4), rng.permutation(n * 2)[:n]
     q = x[: min(n, 5)]
-    found = topk.search(q, ids[: len(q)], x, ids, k)
+    found = topk.search(q, ids[: len(q)], topk.Shard(x, ids, ids), k)
     for i in range(len(q)):
         want = best((ids[i], q[i]), list(zip(ids, x)), k)
         assert [(a, b) for a, b in zip(found.ids[i], found.scores[i])][: len(want)] == want
@@ -119,7 +162,7 @@ def test_maxscore_leaves_rows_out():
     rng = np.random.default_rng(1)
     x = rng.integers(-5, 6, (20_000, 32)) * (rng.random((20_000, 32)) < 0.1)
     stats = {}
-    topk.search(x[:20], np.arange(20), x, np.arange(len(x)), 5, stats)
+    topk.search(x[:20], np.arange(20), topk.Shard(x, np.arange(len(x)), np.arange(len(x))), 5, stats)
     assert stats["scored"] < 0.25 * 20 * len(x)
 
 
