@@ -67,4 +67,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_neardup, op2_packing, op3_substring_dedup, op4_revisits, op5_jaccard, op6_token_shards, op7_maxscore, op8_language, op9_bpe, op10_chat)}
-ORACLE_SQL: dict[str, str] = {"op4_revisits": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substring.ORACLE, "op4_revisits": warc.ORACLE, "op5_jaccard": jaccard.ORACLE, "op7_maxscore": topk.ORACLE}

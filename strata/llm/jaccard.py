@@ -325,3 +325,31 @@ def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, t
     own = [key, "_n", "_a", "_b"]
     best = again.join(kept.toDF(*own), own, "left_semi").groupBy(*own).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return once.unionByName(best).unionByName(again.where("_n = 0").select(*docs.columns))
+
+
+ORACLE = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
+  FROM texts
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id, doc_id AS c FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.c = l.a
+), components AS (
+  SELECT doc_id, min(c) AS component_id FROM reached GROUP BY doc_id
+), counts AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM sets JOIN components USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""

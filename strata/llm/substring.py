@@ -165,3 +165,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     more = "".join(f", {a} {docs.schema[c].dataType.simpleString()}" for c, a in zip(carry, names))
     out = cogroup(own, verdicts, remove, "key long, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>" + more)
     return out.withColumnsRenamed({"key": key, **dict(zip(names, carry))})
+
+
+ORACLE = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM texts)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM again, (SELECT unnest(range(20)) AS k)
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
