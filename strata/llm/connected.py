@@ -8,28 +8,41 @@ logarithm of the longest path, not with the input."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm._common import stored
 
+#: Tasks over which the edges of one node are dealt.
+SALTS = 32
+
+
+def _with_least(rows: DataFrame, node: str, to: str, also_self: bool) -> DataFrame:
+    """rows (node, to) with m, the least `to` of each node (also_self: or the node itself).
+
+    A hub's rows are dealt by (node, salt), so they meet in SALTS tasks; what meets by node alone has SALTS rows of it at most."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(to), F.lit(SALTS)).cast("int"))
+    each = salted.groupBy(node, "salt").agg(F.min(to).alias("low"))
+    least = F.min("low").over(Window.partitionBy(node))
+    return salted.join(each.select(node, "salt", (F.least(node, least) if also_self else least).alias("m")), [node, "salt"])
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """(node, to), node > to, of each node's larger neighbours to its least neighbour or itself."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+    return _with_least(both, "u", "v", True).where("v > u AND v > m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """(node, to) of each node's smaller neighbours, and of itself, to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
+    found = _with_least(edges, "a", "b", False)
+    moved = found.select(F.explode(F.array("a", "b")).alias("x"), "m").where("x > m")
+    return moved.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node and component_id (the least node that it reaches) for each node of edges (a, b); loops and nulls count for nothing."""
+    """node and component_id (the least node that it reaches) for each node of edges (a, b); loops and nulls count for nothing.
+    Nodes are of any type that can be ordered."""
     now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     measure = (F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     before = None
