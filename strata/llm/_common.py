@@ -32,6 +32,21 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of the rows is heavy: there are fewer than 1 / HEAVY of them.
+HEAVY = 1 / 1000
+
+
+def join_by_key(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """left joined with right, which has one row for each key and, in `weight`, how many of the `total` rows of left it meets.
+
+    The fewer than 1 / HEAVY rows of right whose keys are heavy are broadcast, so no task gets the rows of a heavy key; all others
+    meet by shuffle."""
+    heavy = F.col(weight) > int(total * HEAVY)
+    few = right.where(heavy)
+    by_shuffle = left.join(F.broadcast(few.select(*on)), on, "left_anti").join(right.where(~heavy), on)
+    return left.join(F.broadcast(few), on).unionByName(by_shuffle).drop(weight)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of the whole text column: one scan of that column, summed in the JVM."""
     return docs.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

@@ -17,7 +17,7 @@ from strata.llm._common import stored
 SALTS = 32
 
 
-def _with_least(rows: DataFrame, node: str, to: str, also_self: bool) -> DataFrame:
+def with_least(rows: DataFrame, node: str, to: str, also_self: bool) -> DataFrame:
     """rows (node, to) with m, the least `to` of each node (also_self: or the node itself).
 
     A hub's rows are dealt by (node, salt), so they meet in SALTS tasks; what meets by node alone has SALTS rows of it at most."""
@@ -30,12 +30,12 @@ def _with_least(rows: DataFrame, node: str, to: str, also_self: bool) -> DataFra
 def _large_star(edges: DataFrame) -> DataFrame:
     """(node, to), node > to, of each node's larger neighbours to its least neighbour or itself."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return _with_least(both, "u", "v", True).where("v > u AND v > m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return with_least(both, "u", "v", True).where("v > u AND v > m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """(node, to) of each node's smaller neighbours, and of itself, to the least of them."""
-    found = _with_least(edges, "a", "b", False)
+    found = with_least(edges, "a", "b", False)
     moved = found.select(F.explode(F.array("a", "b")).alias("x"), "m").where("x > m")
     return moved.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
 

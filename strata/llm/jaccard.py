@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from strata.llm._common import U64, by_task, lower_ascii, mix64, rolling, row_of, stored, text_buffer, word_hashes, words
+from strata.llm._common import U64, by_task, join_by_key, lower_ascii, mix64, rolling, row_of, stored, text_buffer, word_hashes, words
 from strata.llm._repeats import SENT, answer, answered, by_part, cogroup, marks, send, within
-from strata.llm.connected import UnionFind, components
+from strata.llm.connected import UnionFind, components, with_least
 
-#: N-grams of the sets of one verifying task (8 bytes each), and bits of the short sketches there.
+#: N-grams of the sets of a block, a quarter of the most (8 bytes each), and bits of the short sketches there.
 TASK_NGRAMS, SHORT_BITS = 1 << 20, 2048
 
 
@@ -253,12 +253,13 @@ def linked_classes(docs: DataFrame, n: int, num: int, den: int, text: str, key:
 
     # Candidate groups: every class with the least class that shares a segment with it.
     emitted = found.select("id", F.explode("keys").alias("k"))
-    least = emitted.groupBy("k").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("k", "least")
-    groups = components(emitted.join(least, "k").where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    groups = components(with_least(emitted, "k", "id", False).where("id > m").select(F.col("id").alias("a"), F.col("m").alias("b")))
     grouped = found.select("id", "rep", "copies", "n", "grams").join(groups.select(F.col("node").alias("id"), F.col("component_id").alias("group")), "id")
-    sizes = grouped.groupBy("group").agg(F.sum("n").alias("total")).select("group", F.ceil(F.col("total") / task_ngrams).cast("int").alias("blocks"))
+    # The blocks of a group grow with it, so that what is sent more than once stays in proportion, between bounds for tasks' memory.
+    block = F.greatest(F.lit(task_ngrams // 16), F.least(F.lit(4 * task_ngrams), F.col("total") / 12))
+    sizes = grouped.groupBy("group").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members")).select("group", "members", F.ceil(F.col("total") / block).cast("int").alias("blocks"))
     tasks = (
-        grouped.join(sizes, "group")
+        join_by_key(grouped, sizes, ["group"], "members", found.count())
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "rep", "copies", "grams")
@@ -292,8 +293,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, te
     ends = components(links.where("n < 0").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(same_key))
     counts = links.where("n >= 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     of_class = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "id", "left")
-    of_class = of_class.select("n", "a", "b", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = keyed.join(of_class, ["n", "a", "b"]).select("key", "n", "component_id", "n_links")
+    of_class = of_class.select("n", "a", "b", "copies", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = join_by_key(keyed, of_class, ["n", "a", "b"], "copies", members.count()).select("key", "n", "component_id", "n_links")
     rest = members.where("n = 0 OR key IS NULL").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(rest).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")
 

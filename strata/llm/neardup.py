@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm._common import by_task, stored
+from strata.llm._common import by_task, join_by_key, stored
 from strata.llm.connected import UnionFind, components
 from strata.llm.topk import usable
 
@@ -149,7 +149,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>" if floats else "array<double>").alias("v"))
     good = F.col("vec_id").isNotNull() & usable(F.col("v")) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     classes = stored(rows.where(good).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("id", F.monotonically_increasing_id()), "classes")
-    bits, tables = plan(classes.count(), threshold, recall)
+    n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    bits, tables = plan(n_classes, threshold, recall)
     key_type, key_kind = ("int", pa.int32()) if bits < 32 else ("long", pa.int64())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +174,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     # Buckets of one row hold no pair; large ones are split into blocks.
     sizes = slim.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     block = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST_BLOCK), F.ceil(F.col("n") / 64)))
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    blocks = F.col("blocks")
     task = [*bucket, "low", "high"]
     tasks = (
-        slim.join(sizes, bucket)
+        join_by_key(slim, sizes, bucket, "n", n_classes * tables)
         .withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("id", *bucket, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
@@ -231,7 +233,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     # A node is (least id of the vector's rows, its own number): the least node of a component has its least id.
     ends = components(found.where("n < 0").select(F.struct(F.col("rep_a").alias("rep"), F.col("a").alias("id")).alias("a"), F.struct(F.col("rep_b").alias("rep"), F.col("b").alias("id")).alias("b")))
     ends = ends.select(F.col("node.id").alias("id"), F.col("component_id.rep").alias("c"))
-    about = classes.join(counts, "id", "left").join(ends, "id", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("c", "rep").alias("component_id"))
-    linked = rows.where(good).join(about, "v").select("vec_id", "n_links", "component_id")
+    about = classes.join(counts, "id", "left").join(ends, "id", "left").select("v", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("c", "rep").alias("component_id"))
+    linked = join_by_key(rows.where(good), about, ["v"], "copies", n_rows).select("vec_id", "n_links", "component_id")
     others = rows.where(~F.coalesce(good, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(others).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
