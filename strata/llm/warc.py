@@ -2,8 +2,8 @@
 
 A revisit record (HTTP 304, or an identical payload) has no payload of its own: it stands for the latest earlier full response
 of the same canonical URL. The as-of join runs on ranges of (URL, time): rows are range-partitioned, so that a URL with very
-many captures is cut over many partitions; each range carries its last full response forward by itself, and the last responses
-of earlier ranges of the same URL come in through a table with a few rows for each range. The match is then checked against
+many captures is cut over many partitions; each range carries its last full response forward by itself, and the last response of
+earlier ranges of the same URL comes in as one more row in front of the range. Nothing is broadcast. The match is then checked against
 the revisit's validators, and the headers that a 304 may change are merged into those of the response.
 
 Earlier means a smaller time, or the same time and a smaller record id. Rows with a null URL, time or id take no part as
@@ -66,18 +66,17 @@ def resolve(records: DataFrame) -> DataFrame:
     response = F.when(F.col("full"), F.struct("record_id", "status", "payload_digest", "headers"))
     dealt = stored(slim.repartitionByRange("canonical_url", "ts", "record_id").withColumns({"response": response, "part": F.spark_partition_id()}), "records")
 
-    # Within a range: the last full response before each row.
-    order = (F.col("ts").asc_nulls_first(), F.col("record_id").asc_nulls_first(), F.col("full").desc())
-    before = Window.partitionBy("canonical_url", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = dealt.withColumn("found", F.last("response", ignorenulls=True).over(before)).where(~F.col("full"))
-
     # From earlier ranges of the same URL: only a range's first URL can have begun before it.
     ranges = dealt.groupBy("canonical_url", "part").agg(F.max_by("response", F.when(F.col("full"), F.struct("ts", "record_id"))).alias("last"))
     earlier = Window.partitionBy("canonical_url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ranges.withColumn("carried", F.last("last", ignorenulls=True).over(earlier)).where(F.col("carried").isNotNull()).select(F.col("canonical_url").alias("u"), F.col("part").alias("p"), "carried")
-    joined = own.join(F.broadcast(carried), (F.col("canonical_url") == F.col("u")) & (F.col("part") == F.col("p")), "left")
+    carried = ranges.withColumn("response", F.last("last", ignorenulls=True).over(earlier)).where(F.col("response").isNotNull()).select("canonical_url", "part", "response", F.lit(0).alias("place"))
 
-    match = F.when(F.col("ts").isNotNull() & F.col("record_id").isNotNull(), F.coalesce("found", "carried"))
+    # Within a range: the last full response before each row.
+    order = ("place", F.col("ts").asc_nulls_first(), F.col("record_id").asc_nulls_first(), F.col("full").desc())
+    before = Window.partitionBy("canonical_url", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    led = dealt.withColumn("place", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    joined = led.withColumn("found", F.last("response", ignorenulls=True).over(before)).where((F.col("place") == 1) & ~F.col("full"))
+    match = F.when(F.col("ts").isNotNull() & F.col("record_id").isNotNull(), F.col("found"))
     rows = joined.withColumn("match", match)
     m, h = F.col("match"), F.col("headers")
     digests = F.col("payload_digest").isNotNull() & m["payload_digest"].isNotNull()
