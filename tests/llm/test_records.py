@@ -93,6 +93,58 @@ def test_op8_edges(spark):
     assert clash.columns == ["doc_id", "text", "lang", "key", "gram", "lang_pred", "score"] and clash.where("doc_id = 1").first().lang_pred == "en"
 
 
+def by_hand(docs, teach):
+    """op8 by definition, with sets for the filter: n-grams of four bytes with one blank at most, none but at an end within three."""
+    def grams_of(text):
+        b = bytearray(b" " + (text or "").encode() + b" ")
+        for i, c in enumerate(b):
+            if 65 <= c <= 90 or (i and b[i - 1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97):
+                b[i] = c + 32
+            elif c < 128 and not 97 <= c <= 122:
+                b[i] = 32
+        found = [bytes(b[i : i + 4]) for i in range(len(b) - 3)]
+        return [g for g in found if g.count(b" ") <= 1 and 32 not in g[1:3]]
+
+    counts, rows = {}, {}
+    for key, text, lang in docs:
+        if teach(key) and lang is not None and text is not None:
+            rows[lang] = rows.get(lang, 0) + 1
+            of = counts.setdefault(lang, {})
+            for g in grams_of(text):
+                of[g] = of.get(g, 0) + 1
+    own = {k: {g for g, n in of.items() if n > 1 and n >= sum(of.values()) * langid.MIN_SHARE} for k, of in counts.items()}
+    default = min(rows, key=lambda k: (-rows[k], k))
+    out = {}
+    for key, text, _ in docs:
+        found = grams_of(text)
+        shares = {k: sum(g in own[k] for g in found) / max(len(found), 1) for k in sorted(own)}
+        best = max(shares, key=lambda k: shares[k])
+        letters = any(map(str.isalpha, text or ""))
+        out[key] = ((best if shares[best] > 0 else default) if letters else "und", shares[best] if letters else 0.0, shares)
+    return out
+
+
+def test_op8_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    want = by_hand(docs, lambda key: zlib.crc32(str(key).encode()) % 3 != 1)
+    rows = catalogue.op8_language(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(want)
+    for r in rows:
+        lang, score, shares = want[r.doc_id]
+        assert abs(r.score - score) < 0.02  # false positives of the filter, corrected
+        assert r.lang_pred == lang or abs(shares[r.lang_pred] - score) < 0.02
+    assert np.mean([r.lang_pred == want[r.doc_id][0] for r in rows]) > 0.99
+
+
+def test_labels_without_text_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, None, "aa") for i in range(9)] + [(20, "der Hund und die Katze " * 9, "de"), (20, "der Hund und die Katze " * 9, "de"), (None, "中文", "de"), (21, "中文", None)], "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    assert model.languages == ["de"]
+    rows = langid.predict(docs, model).collect()
+    assert len(rows) == 13 and {r.lang_pred for r in rows} == {"und", "de"}
+    assert langid.train(docs.where("text IS NULL"), F.lit(True)) is None
+
+
 def test_filter_returns_all_languages_and_corrects(spark):
     rng = np.random.default_rng(1)
     own = {f"l{i:02}": rng.integers(0, 1 << 32, 3000, dtype=np.uint32) for i in range(20)}
