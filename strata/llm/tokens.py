@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 from array import array
 from collections.abc import Callable
 
@@ -18,10 +19,20 @@ from tokenizers import Tokenizer
 
 #: Distinct pieces that a worker keeps; later ones are encoded each time.
 CACHE_PIECES = 250_000
+#: Marks that often end a word: behind letters they are a piece of their own in both vocabularies.
+_ENDS = ".,;:!?$*)]}\"%"
 #: A blank that is not followed by a visible character doesn't end a piece.
 _NO_CUT = re.compile(r" (?=\s|\Z)")
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return _PACK[len(ids)](*ids) if len(ids) < 33 else array("I", ids).tobytes()
+
+
 class _Cache(dict):
     def __init__(self, make: Callable, limit: int) -> None:
         super().__init__()
@@ -67,11 +78,18 @@ class _Encoder:
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] or any(map(str.isspace, x["content"])) for x in spec["added_tokens"]):
             raise ValueError("added tokens that take in blanks are not supported")
         self.model = spec["model"]
-        self.has_special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)").search
+        self._special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)").search
+        self._marks = tuple({x[0] for x in self.specials})
         self.merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in self.model["merges"]]
         self._after_blank = _Cache(lambda x: self.encode_piece(" " + x), cache_pieces)
         self._other = _Cache(self.encode_piece, 20_000)
 
+    def has_special(self, piece: str) -> bool:
+        for mark in self._marks:
+            if mark in piece:
+                return self._special(piece) is not None
+        return False
+
     def by_library(self, piece: str) -> bytes:
         return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -105,8 +123,11 @@ class ByteEncoder(_Encoder):
         if self.core is None or self.has_special(piece):
             return self.by_library(piece)
         if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            return array("I", self.single(piece.encode())).tobytes()
-        return array("I", self.core(piece)).tobytes()
+            return packed(self.single(piece.encode()))
+        stem = piece.rstrip(_ENDS)
+        if stem != piece and stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()):
+            return self._after_blank[stem[1:]] + self._other[piece[len(stem) :]] if stem[0] == " " else self._other[stem] + self._other[piece[len(stem) :]]
+        return packed(self.core(piece))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for, from the vocabulary."""
@@ -148,8 +169,13 @@ class WordEncoder(_Encoder):
         if self.fast is None or _COMMON.fullmatch(piece) is None or self.has_special(piece):
             return self.by_library(piece)
         ids, core, word = self.ids, self.core, piece.lower().strip()
-        found = (word,) if word.isalpha() else _WORDS.findall(word)
-        return array("I", [ids[x] for w in found for x in core(w.encode() + self.END)]).tobytes()
+        if word.isalpha():
+            found = (word,)
+        elif (stem := word.rstrip(_ENDS)).isalpha():
+            found = (stem, word[len(stem) :])
+        else:
+            found = _WORDS.findall(word)
+        return packed([ids[x] for w in found for x in core(w.encode() + self.END)])
 
 
 @functools.lru_cache(4)
