@@ -89,13 +89,40 @@ def test_op6_shards(spark, docs, tmp_path):
     for i, t in enumerate(TEXTS):
         assert got[i, 0] == [*ids_of(BYTE, t), 0]
     assert got[3, 1] == [*ids_of(BYTE, "again"), 0]
-    raw = spark.read.schema(shards.SCHEMA).parquet(folder).collect()
+    asked = [None, -5, 3, 7, 123456789, -6]
+    found = shards.get(spark, folder, asked)
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in found.collect()} == {k: got[k, 0] for k in (None, -5, 3, 7)}
+    assert len(found.inputFiles()) <= len(spark.read.parquet(folder + "/shards").inputFiles())
+    assert [(r.doc_id, r.n_tokens) for r in shards.get(spark, folder, asked, 1).collect()] == [(3, len(got[3, 1]))]
+    assert shards.get(spark, folder, []).count() == shards.get(spark, folder, [10**12]).count() == 0
+    raw = spark.read.schema(shards.SCHEMA).parquet(folder + "/shards").collect()
     for r in raw:
         s = shards.Shard(r.asDict())
         assert sorted(s.find(s.keys, s.nulls, s.occurrences)) == list(range(r.n_docs))  # minimal and perfect
         assert s.get(123456789) is None
     shards.write(docs.limit(0), BYTE, folder + "0", 0)
-    assert shards.read(spark, folder + "0").count() == 0
+    assert shards.read(spark, folder + "0").count() == 0 and shards.get(spark, folder + "0", [1]).count() == 0
+
+
+def test_a_lookup_reads_one_bucket_and_one_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "INDEX_KEYS", 50)
+    folder = f"file://{tmp_path}/s"
+    shards.write(spark.range(3000).selectExpr("id * 3 AS doc_id", "'word ' || id AS text"), BYTE, folder, 0, shard_ids=500)
+    assert len(spark.read.parquet(folder + "/directory").select("bucket").distinct().collect()) > 40
+    assert len(spark.read.parquet(folder + "/shards").select("part").distinct().collect()) > 2
+    for k in (0, 1500 * 3, 2999 * 3):
+        one = shards.get(spark, folder, [k, k + 1])
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(part" in plan or "part" in plan.split("PartitionFilters")[1][:60]
+        assert [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in one.collect()] == [(k, [*ids_of(BYTE, f"word {k // 3}"), 0])]
+
+
+def test_equal_hashes_get_another_seed(monkeypatch):
+    plain = shards.key_hashes
+    monkeypatch.setattr(shards, "key_hashes", lambda k, n, o, seed=0: plain(k, n, o, seed) if seed else plain(k, n, o, seed) * np.uint64(0))
+    keys, nulls, number = np.arange(100), np.zeros(100, bool), np.zeros(100, np.uint32)
+    row = shards.Index.build(keys, nulls, number, np.zeros(100, shards.PLACE))
+    assert row["seed"] == 1 and sorted(shards.Index(row, shards.PLACE).find(keys)) == list(range(100))
 
 
 def test_op6_on_a_table(spark):
