@@ -1,6 +1,8 @@
 """op2, op6 and op9 against the tokenizers library itself."""
 
 import hashlib
+import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -28,7 +30,7 @@ def ids_of(path, text):
 
 PARTS = st.lists(st.sampled_from(["a", "the", "ing", " ", "  ", "\n", "\t", "'s", "1", "é", "É", "İ", "Σ", "́", "\x1c", "\x85", "　", "<|endoftext|>", "😀", "-", ".", "<|", "Zz"]), max_size=12).map("".join)
 BYTES, WORDS = ByteEncoder(BYTE), WordEncoder(WORD)
-CHUNKED = bpe.ChunkEncoder(BYTES)
+CHUNKED = bpe.ChunkEncoder(BYTES.encode)
 
 
 @settings(max_examples=400, deadline=None)
@@ -44,7 +46,7 @@ def test_encoders_are_exact(text, cuts):
 
 def test_chunks_are_reused(spark):
     one = " ".join(f"w{i * i % 9973}" for i in range(4000))
-    chunked = bpe.ChunkEncoder(BYTES)
+    chunked = bpe.ChunkEncoder(BYTES.encode)
     for t in (one, "other start " + one, "third " + one, one):
         raw = t.encode()
         cuts = bpe.content_cuts(np.frombuffer(raw, np.uint8)).tolist()
@@ -53,6 +55,62 @@ def test_chunks_are_reused(spark):
     assert chunked.reused > 20
 
 
+def test_old_chunks_make_room():
+    """However many chunks come, those that come again later are kept then; what is kept has a bound."""
+    chunked = bpe.ChunkEncoder(BYTES.encode, kept=20)
+    for start in range(0, 40_000, 1000):
+        text = " ".join(f"w{i}" for i in range(start, start + 1000))
+        raw, before = text.encode(), chunked.reused
+        cuts = bpe.content_cuts(np.frombuffer(raw, np.uint8)).tolist()
+        for _ in range(3):
+            assert chunked.encode(raw, cuts) == BYTES.encode(text)
+        assert chunked.reused > before
+        assert len(chunked.kept.young) <= 20 and len(chunked.kept.old) <= 20
+
+
+def pairs(text):
+    """An encoder that joins a piece with an equal one before it, so that cuts at blanks aren't exact."""
+    out, found = [], re.findall(r" ?[^ ]+| +", text)
+    while found:
+        n = 2 if len(found) > 1 and found[0] == found[1] else 1
+        out.append(zlib.crc32("".join(found[:n]).encode()).to_bytes(4, "little"))
+        del found[:n]
+    return b"".join(out)
+
+
+def test_joints_grow_until_both_sides_agree():
+    rng, widened = random.Random(3), 0
+    for _ in range(400):
+        chunks = [" ".join(rng.choice("ab") for _ in range(rng.randrange(5, 12))) for _ in range(4)]
+        own = bpe.ChunkEncoder(pairs)
+        for _ in range(6):
+            way = [rng.choice(chunks) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 8))]
+            text, at = "".join(way).encode(), np.cumsum([len(x) for x in way]).tolist()[:-1]
+            assert own.encode(text, at) == pairs(text.decode())
+        widened += own.widened
+    assert widened > 100
+
+
+def test_frequent_chunks_are_shared(spark):
+    shared = " ".join(f"s{i * i % 9973}" for i in range(1500))
+    rows = [(i, f"start {i} " + shared + f" end {i}", None) for i in range(20)] + [(99, None, 1), (100, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h int")
+    found = bpe.frequent_chunks(df, n=5)
+    assert len(found) == 5 and all(c.decode() in shared for c in found)
+    own = bpe.ChunkEncoder(BYTES.encode, bpe.frequent_chunks(df))
+    raw = rows[3][1].encode()
+    assert own.encode(raw, bpe.content_cuts(np.frombuffer(raw, np.uint8)).tolist()) == BYTES.encode(rows[3][1]) and own.reused > 5  # in the first text that it sees
+    got = {r.doc_id: r.ids for r in bpe.encode(df, BYTE).collect()}
+    assert got == {i: ids_of(BYTE, t) for i, t, _ in rows}
+    assert bpe.frequent_chunks(df.limit(0)) == [] and bpe.frequent_chunks(df.limit(1)) == []
+
+
+def test_op9_rows_pass_through(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b"), (1, "a b"), (1, None)], "doc_id long, text string")
+    rows = bpe.decode(bpe.encode(df, BYTE), BYTE).collect()
+    assert sorted((r.doc_id or 0, r.decoded) for r in rows) == [(0, "a b"), (0, "a b"), (1, ""), (1, "a b"), (1, "a b")]
+
+
 def test_op9_round_trip(spark, docs):
     both = bpe.decode(bpe.encode(docs, BYTE).selectExpr("*", "'x' AS decoded", "1 AS key"), BYTE)
     rows = {r.doc_id: r for r in both.collect()}
