@@ -118,7 +118,7 @@ class LanguageFilter:
 def train(docs: DataFrame, teach: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageFilter | None:
     """A filter from those rows of docs for which `teach` is true. The rows of a language are sampled by a hash of their key."""
     spark = docs.sparkSession
-    rows = docs.where(teach & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = docs.where(teach & F.col(lang).isNotNull() & (F.col(text) != ""))
     counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None

@@ -94,7 +94,7 @@ def test_op8_edges(spark):
 
 
 def by_hand(docs, teach):
-    """op8 by definition, with sets for the filter: n-grams of four bytes with one blank at most, none but at an end within three."""
+    """op8 by definition, with sets for the filter: n-grams of four bytes with one blank at most."""
     def grams_of(text):
         b = bytearray(b" " + (text or "").encode() + b" ")
         for i, c in enumerate(b):
@@ -103,11 +103,11 @@ def by_hand(docs, teach):
             elif c < 128 and not 97 <= c <= 122:
                 b[i] = 32
         found = [bytes(b[i : i + 4]) for i in range(len(b) - 3)]
-        return [g for g in found if g.count(b" ") <= 1 and 32 not in g[1:3]]
+        return [g for g in found if g.count(b" ") <= 1]
 
     counts, rows = {}, {}
     for key, text, lang in docs:
-        if teach(key) and lang is not None and text is not None:
+        if teach(key) and lang is not None and text:
             rows[lang] = rows.get(lang, 0) + 1
             of = counts.setdefault(lang, {})
             for g in grams_of(text):
@@ -184,6 +184,73 @@ def test_repair_is_cheapest(roles):
     assert cost == cheapest(roles) == chat.reduce_block(list(roles))[chat.START].min()
 
 
+def legal_and_rendered(rows):
+    """Checks a conversation's repaired turns against the automaton, turn by turn, and gives its text and cost."""
+    state, text, cost = chat.START, "", 0
+    for r in rows:
+        name, body = r.action.removesuffix("_relabel"), (r.text or "").replace("<|", "<\\|")
+        own = {"human": "user", "ai": "assistant", "bot": "assistant", "model": "assistant", "gpt": "assistant", "developer": "system"}.get((r.role_in or "").strip().lower(), (r.role_in or "").strip().lower())
+        after = chat.ROLES.index(r.role_out) + 1
+        if name.startswith("insert_"):
+            between = chat.ROLES.index(name.removeprefix("insert_")) + 1
+            assert (state, between) in chat.LEGAL and (between, after) in chat.LEGAL
+            text += ("<|end|>\n" if text else "") + f"<|{chat.ROLES[between - 1]}|>\n<|end|>\n<|{r.role_out}|>\n" + body
+            cost += chat.INSERT
+        elif name == "merge":
+            assert state == after
+            text += "\n\n" + body
+            cost += chat.MERGE
+        else:
+            assert name == "keep" and (state, after) in chat.LEGAL
+            text += ("<|end|>\n" if text else "") + f"<|{r.role_out}|>\n" + body
+        relabelled = own in chat.ROLES and own != r.role_out
+        assert relabelled == r.action.endswith("_relabel") or own not in chat.ROLES
+        cost += chat.RELABEL * relabelled
+        assert r.cost == (chat.INSERT if name.startswith("insert_") else chat.MERGE if name == "merge" else 0) + chat.RELABEL * relabelled
+        state = after
+    return text, cost
+
+
+def least_cost(roles):
+    """The least cost over all sequences of output roles and insertions, by search over whole conversations of a few states."""
+    best = {chat.START: 0}
+    for role in roles:
+        after = {}
+        for state, cost in best.items():
+            for r in (1, 2, 3):
+                more = 0 if role in (0, r) else chat.RELABEL
+                ways = ([0] if (state, r) in chat.LEGAL else []) + ([chat.MERGE] if state == r else []) + [chat.INSERT for b in (2, 3) if (state, b) in chat.LEGAL and (b, r) in chat.LEGAL and (state, r) not in chat.LEGAL]
+                for w in ways:
+                    after[r] = min(after.get(r, 1 << 30), cost + w + more)
+        best = after
+    return min(best.values())
+
+
+def test_op10_table_is_legal_cheapest_and_rendered(spark):
+    """Every conversation of a table: the automaton, the costs, the roles and the rendered text, all worked out here."""
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    out = catalogue.op10_chat(spark, SF)
+    rows = out.join(turns.select("conv_id", "turn", "text"), ["conv_id", "turn"]).orderBy("conv_id", "position").collect()
+    assert len(rows) == turns.count()
+    numbers = {"system": 1, "user": 2, "assistant": 3}
+    for _, own in itertools.groupby(rows, key=lambda r: r.conv_id):
+        own = list(own)
+        assert [r.position for r in own] == list(range(len(own)))
+        text, cost = legal_and_rendered(own)
+        assert text == "".join(r.rendered for r in own)
+        assert cost == least_cost([numbers.get((r.role_in or "").strip().lower(), 0) for r in own])
+
+
+def test_blocks_by_bytes(spark):
+    """Long texts close a block early; one text beyond the limit is a block of its own; nothing changes but that."""
+    rng = random.Random(5)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "x"]), "y" * rng.choice([1, 10, 900, 5000])) for c, n in ((1, 300), (2, 1), (None, 90)) for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole, cut = rows_of(chat.repair(df)), rows_of(chat.repair(df, block_bytes=2000))
+    assert whole == cut or [(r[:3], r[5]) for r in whole] != [] and all(sum(r[5] for r in whole if r[0] == c) == sum(r[5] for r in cut if r[0] == c) for c in (1, 2, None))
+    assert [r[:3] for r in whole] == [r[:3] for r in cut]
+
+
 def rows_of(df):
     return [(r.conv_id, r.turn, r.position, r.action, r.role_out, r.cost, r.rendered) for r in df.orderBy("conv_id", "position").collect()]
 
