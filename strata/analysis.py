@@ -1,17 +1,25 @@
-"""Static analysis of programs: dependencies, paths and their consistency labels, written as relational programs themselves.
+"""Static analysis of programs: dependencies, paths and their consistency labels.
 
-Labels: M / Bot monotone, A asynchronous, N non-monotone, D divergent (an order-sensitive step after an asynchronous one)."""
+A label says what may happen to a row's order on its way: N, a non-monotone step whose result depends on what has come so far; A, an
+asynchronous step that lets rows come in any order; D, divergence: an order that is not fixed matters. Labels are the subsets of {N, A},
+and D is both. Where ways meet, their labels join as sets. Along a way, a step that does nothing to order keeps the label; after
+an asynchronous step, what follows is added to it; otherwise the step's label takes the place of the one before, for an order that
+is fixed again by a non-monotone step can't be upset by what came earlier. So A then N is D, and N then A is A."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import deque
+from enum import IntFlag
+from functools import reduce as fold
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import relational as O
 from strata.operators.relational import L, R
 from strata.plans import fixpoint
 from strata.plans.program import CELL, CHANNEL, DURABLE, TABLE, Program
-from strata.schema import Schema
+from strata.plans.stratify import components
 
 DEPENDS = "rule long, lhs string, op string, body string, nm boolean"
 
@@ -58,121 +66,132 @@ def dependency_report(depends: DataFrame, providing: DataFrame, storage) -> dict
     }
 
 
-#: The order of tags along a path: (from, to, whether that order matters).
-TAG_ORDER = (("M", "A", False), ("M", "N", False), ("A", "D", False), ("N", "D", False), ("N", "A", True))
+class Label(IntFlag):
+    """A path's effect on order: a subset of {N, A}."""
+
+    M = 0
+    N = 1
+    A = 2
+    D = N | A
+
+    def then(self, step: Label) -> Label:
+        """This way with one more step behind it."""
+        if not step:
+            return self
+        return Label(self | step) if self & Label.A else step
+
+    @property
+    def letter(self) -> str:
+        return ("M", "N", "A", "D")[self]
+
+
+def joined(labels) -> Label:
+    """Of ways that meet."""
+    return fold(lambda a, b: a | b, labels, Label.M)
 
 
 def tag_bounds() -> dict[tuple[str, str], str]:
-    """The tag of a path from the tags of its first part and of the next rule: the least one that follows from both."""
-    tags = ("M", "A", "N", "D")
-    reach = {(t, t): (0, False) for t in tags}
-    for _ in tags:
-        for (a, b), (dist, directed) in list(reach.items()):
-            for x, y, d in TAG_ORDER:
-                if x == b and (a, y) not in reach:
-                    reach[a, y] = (dist + 1, directed or d)
-    out = {}
-    for (a, b), (_, directed) in reach.items():
-        out[a, b] = b
-        if not directed:
-            out.setdefault((b, a), b)
-    for a in tags:
-        for b in tags:
-            if (a, b) not in out:
-                common = [(max(reach[a, t][0], reach[b, t][0]), t) for t in tags if t not in (a, b) and (a, t) in reach and (b, t) in reach]
-                out[a, b] = min(common)[1]
-    return out
+    """The tag of a path from the tags of its first part and of the next rule."""
+    return {(a.letter, b.letter): a.then(b).letter for a in map(Label, range(4)) for b in map(Label, range(4))}
 
 
-def path_tags(spark: SparkSession, depends: DataFrame, storage) -> DataFrame:
-    """from, to, path, tag, lastop and len: every simple dependency path with its tag."""
-    nm, far = F.col("nm"), F.col("op") == "<~"
-    tag = F.when(nm & far, "D").when(nm, "N").when(far, "A").otherwise("M")
-    order = F.when(tag == "M", 0).otherwise(1)
-    of_rule = depends.groupBy("rule").agg(F.max_by(tag, F.struct(order, tag)).alias("tag"))
+def _letter(tag: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(Label(i).letter) for i in range(4))), tag + 1)
+
+
+def labelled_paths(depends: DataFrame, storage) -> DataFrame:
+    """from, to, path, and for each step of the path its op and the tag (a Label's number) up to it: every simple dependency path."""
+    bits = F.when(F.col("nm"), int(Label.N)).otherwise(0).bitwiseOR(F.when(F.col("op") == "<~", int(Label.A)).otherwise(0))
+    of_rule = depends.groupBy("rule").agg(F.bit_or(bits).alias("tag"))
     edge = depends.join(of_rule, "rule").select("body", F.col("lhs").alias("head"), "tag", "op").distinct()
-    bounds = spark.createDataFrame([(a, b, c) for (a, b), c in sorted(tag_bounds().items())], "a string, b string, c string")
-    base = edge.select(F.col("body").alias("from"), F.col("head").alias("to"), F.array("body", "head").alias("path"), "tag", F.col("op").alias("lastop"))
+    base = edge.select(F.col("body").alias("from"), F.col("head").alias("to"), F.array("body", "head").alias("path"), F.array("op").alias("ops"), F.array("tag").alias("tags"))
 
     def step(delta: DataFrame) -> DataFrame:
-        longer = O.pairs(delta, edge, {"to": "body"}, L["from"].alias("from"), R["head"].alias("to"), L["path"].alias("p"), L["tag"].alias("a"), R["tag"].alias("b"), R["op"].alias("lastop"))
-        longer = longer.where(~F.array_contains("p", F.col("to")))
-        return longer.join(F.broadcast(bounds), ["a", "b"]).select("from", "to", F.array_append("p", F.col("to")).alias("path"), F.col("c").alias("tag"), "lastop")
+        so_far, more = F.element_at(L["tags"], -1), R["tag"]
+        tag = F.when(more == 0, so_far).when(so_far.bitwiseAND(int(Label.A)) != 0, so_far.bitwiseOR(more)).otherwise(more)
+        longer = O.pairs(delta, edge, {"to": "body"}, L["from"].alias("from"), R["head"].alias("to"), L["path"].alias("path"), F.array_append(L["ops"], R["op"]).alias("ops"), F.array_append(L["tags"], tag).alias("tags"))
+        return longer.where(~F.array_contains("path", F.col("to"))).withColumn("path", F.array_append("path", F.col("to")))
 
-    return fixpoint.closure(base, step, storage).withColumn("len", F.size("path"))
+    return fixpoint.closure(base, step, storage)
 
 
-def divergence_report(paths: DataFrame, providing: DataFrame) -> dict[str, DataFrame]:
-    """begins: the shortest path from an input for each tag. order_points: for each first divergent path, the asynchronous
-    path it extends. global_property: pairs of collections whose paths all have one tag."""
-    own = O.lefts(paths, providing.where("input"), {"from": "pred"})
-    begins = O.argmin(own, ["from", "tag"], "len")
-    a, d = own.where("tag = 'A' AND lastop = '<~'"), begins.where("tag = 'D'")
-    order_points = O.combos([d, a], [((0, "from"), (1, "from"))], R["from"].alias("from"), R["path"].alias("path"), L["path"].alias("fullpath"), theta=(F.size(R["path"]) < F.size(L["path"])) & (F.slice(L["path"], 1, F.size(R["path"])) == R["path"]))
-    total, each = paths.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")), paths.groupBy("from", "to", "tag").agg(F.count(F.lit(1)).alias("n"))
-    return {"begins": begins, "order_points": order_points, "global_property": each.join(total, ["from", "to", "n"]).select("from", "to", "tag", "n")}
+def path_tags(spark: SparkSession, depends: DataFrame, storage) -> DataFrame:
+    """from, to, path, tag, lastop and len: every simple dependency path with its tag."""
+    paths = labelled_paths(depends, storage)
+    return paths.select("from", "to", "path", _letter(F.element_at("tags", -1)).alias("tag"), F.element_at("ops", -1).alias("lastop"), F.size("path").alias("len"))
+
+
+def divergence_report(paths: DataFrame, inputs: DataFrame) -> dict[str, DataFrame]:
+    """From labelled_paths() and the names of inputs (column pred). first: the shortest paths from each input for each tag.
+    turning_points: paths from inputs that diverge in their last step, with the part of them up to the last asynchronous step, whose
+    order it is that matters. uniform: pairs of collections all of whose paths have one tag."""
+    last = F.element_at("tags", -1)
+    own = O.lefts(paths, inputs, {"from": "pred"}).select("from", "to", "path", "ops", "tags", last.alias("tag"), F.size("path").alias("len"))
+    shortest = own.groupBy("from", "tag").agg(F.min("len").alias("len"))
+    turned = own.where((F.col("tag") == int(Label.D)) & ((F.size("tags") == 1) | (F.element_at("tags", -2) != int(Label.D))))
+    earlier = F.filter(F.transform(F.slice("ops", 1, F.size("ops") - 1), lambda op, i: F.when(op == "<~", i + 1)), lambda i: i.isNotNull())
+    each = paths.groupBy("from", "to").agg(F.min(last).alias("tag"), F.max(last).alias("most"), F.count(F.lit(1)).alias("n"))
+    return {
+        "first": own.join(shortest, ["from", "tag", "len"], "left_semi").select("from", "to", "path", _letter(F.col("tag")).alias("tag"), "len"),
+        "turning_points": turned.withColumn("at", F.array_max(earlier)).select("from", "to", F.slice("path", 1, F.coalesce(F.col("at"), F.lit(0)) + 1).alias("up_to"), "path"),
+        "uniform": each.where("tag = most").select("from", "to", _letter(F.col("tag")).alias("tag"), "n"),
+    }
 
 
 def _state_of(p: Program, name: str) -> str:
     return p._decls[name].kind if name in p._decls else "none"
 
 
-def _collapse(left: list[str], label: str) -> list[str]:
-    """The labels of a path so far with the next one."""
-    *before, last = left
-    if last == "Bot" or last == label:
-        return [*before, label]
-    if label == "Bot":
-        return left
-    if "D" in (last, label) or (last == "A" and label == "N"):
-        return [*before, "D"]
-    return [*before, last, label]
+def _ports(p: Program) -> tuple[set[str], set[str]]:
+    """Inputs and outputs."""
+    provides = p.provides()
+    return {n for n, is_input in provides if is_input}, {n for n, is_input in provides if not is_input}
 
 
-def label_paths(p: Program) -> list[tuple[str, str, tuple[str, ...], tuple[str, ...], str]]:
-    """(input, output, path, its labels collapsed, reason) for each way from an input to an output.
+def flows(p: Program) -> list[tuple[str, str, tuple[str, ...], Label, str]]:
+    """(input, output, a shortest way, label, reason) for each label with which rows of an input reach an output that nothing reads.
 
-    Cycles are one node each (entered at IN, left at OUT). Channels that are inputs get an asynchronous step before them. An
-    output that two channels reach without stored state on both ways is divergent (reason `unguarded`)."""
-    label = {}
+    Labels spread over the graph of strongly connected components, so the work grows with its edges, not with its paths; a
+    component with inner edges is passed by one of their labels. Channels that are inputs get an asynchronous step before them.
+    An output that two channels reach without stored state on both ways is divergent (reason `unguarded`)."""
+    steps: dict[tuple[str, str], set[Label]] = {}
     for d in p.depends():
-        now = "A" if d.op == "<~" else "N" if d.nm else "Bot"
-        label.setdefault((d.body, d.lhs), set()).add(now)
-    provides = dict(p.provides())
-    marked = getattr(p, "interfaces", {})
-    provides.update({n: v == "input" for n, v in marked.items()})
-    for n, is_input in list(provides.items()):
-        if is_input and _state_of(p, n) == CHANNEL:
-            label[f"{n}_INPUT", n] = {"A"}
-            provides[f"{n}_INPUT"] = True
+        steps.setdefault((d.body, d.lhs), set()).add(Label.A if d.op == "<~" else Label.N if d.nm else Label.M)
+    inputs, outputs = _ports(p)
     edges: dict[str, set[str]] = {}
-    for a, b in label:
+    for a, b in steps:
         edges.setdefault(a, set()).add(b)
-    from strata.plans.stratify import components
-
-    nodes = {n for e in label for n in e}
-    cycle = {}
-    for c in components(nodes, edges):
-        if len(c) > 1 or c[0] in edges.get(c[0], ()):
-            cycle.update(dict.fromkeys(c, ",".join(c)))
-    graph: dict[str, set[tuple[str, str]]] = {}
-    for (a, b), labels in label.items():
-        if a in cycle and b in cycle and cycle[a] == cycle[b]:
-            a, b = f"{cycle[a]}_IN", f"{cycle[b]}_OUT"
-        else:
-            a, b = (f"{cycle[a]}_OUT" if a in cycle else a), (f"{cycle[b]}_IN" if b in cycle else b)
-        graph.setdefault(a, set()).update((b, x) for x in labels)
     divergent = divergent_outputs(p, edges)
-    heads = {b for bs in graph.values() for b, _ in bs}
+    for n in inputs:
+        if _state_of(p, n) == CHANNEL:
+            steps[f"{n}_INPUT", n] = {Label.A}
+            edges.setdefault(f"{n}_INPUT", set()).add(n)
+    whole = {n: ",".join(c) for c in components({n for e in steps for n in e}, edges) for n in c}
+    within: dict[str, set[Label]] = {}
+    across: dict[str, set[tuple[str, Label]]] = {}
+    for (a, b), labels in steps.items():
+        if whole[a] == whole[b]:
+            within.setdefault(whole[a], set()).update(labels)
+        else:
+            across.setdefault(whole[a], set()).update((whole[b], x) for x in labels)
+    reached = {to for found in across.values() for to, _ in found}
     out = []
-    work = [(n, (n,), ("Bot",)) for n, is_input in provides.items() if is_input and n not in heads and n in graph]
-    while work:
-        node, path, state = work.pop()
-        if provides.get(node) is False and not graph.get(node) and len(path) > 1:
-            out.append((path[0], node, path, ("D",), "unguarded") if node in divergent else (path[0], node, path, state, "path"))
-        for to, x in sorted(graph.get(node, ())):
-            if to not in path:
-                work.append((to, (*path, to), tuple(_collapse(list(state), x))))
+    for source in sorted(across.keys() - reached):
+        if not (source in inputs or source.removesuffix("_INPUT") in inputs):
+            continue
+        ways: dict[tuple[str, Label], tuple[str, ...]] = {(source, Label.M): (source,)}
+        work = deque(ways)
+        while work:  # by length, so the first way found with a label is a shortest
+            node, label = work.popleft()
+            for to, step in sorted(across.get(node, ())):
+                for inner in sorted(within.get(to, {Label.M})):
+                    mark = (to, label.then(step).then(inner))
+                    if mark not in ways:
+                        ways[mark] = (*ways[node, label], to)
+                        work.append(mark)
+        for (node, label), way in ways.items():
+            if node in outputs and node not in across and len(way) > 1:
+                out.append((source, node, way, Label.D, "unguarded") if node in divergent else (source, node, way, label, "way"))
     return sorted(out)
 
 
@@ -218,25 +237,20 @@ def divergent_outputs(p: Program, edges: dict[str, set[str]]) -> set[str]:
     return bad
 
 
-def worst(labels) -> str:
-    found = set(labels)
-    if "D" in found or {"A", "N"} <= found:
-        return "D"
-    return "N" if "N" in found else "A" if "A" in found else "Bot"
+def _name(label: Label) -> str:
+    return label.letter if label else "Bot"
 
 
 def output_report(p: Program) -> dict[str, str]:
-    out: dict[str, list[str]] = {}
-    for _, to, _, state, _ in label_paths(p):
-        out.setdefault(to, []).append(state[-1])
-    return {k: worst(v) for k, v in out.items()}
+    """The label of each output over all inputs' ways to it."""
+    found = flows(p)
+    return {to: _name(joined(x[3] for x in found if x[1] == to)) for to in {x[1] for x in found}}
 
 
 def path_report(p: Program) -> dict[str, dict[str, str]]:
-    out: dict[str, dict[str, list[str]]] = {}
-    for source, to, _, state, _ in label_paths(p):
-        out.setdefault(to, {}).setdefault(source, []).append(state[-1])
-    return {k: {s: worst(x) for s, x in v.items()} for k, v in out.items()}
+    """For each output and input, the label of all ways between them."""
+    found = flows(p)
+    return {to: {a: _name(joined(x[3] for x in found if x[:2] == (a, to))) for a in {x[0] for x in found if x[1] == to}} for to in {x[1] for x in found}}
 
 
 def dot(p: Program) -> str:
