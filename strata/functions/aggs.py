@@ -80,9 +80,32 @@ def custom(name: str, column: Column, exemplary: bool = False) -> Agg:
 
 
 def folded(name: str, zero: Column, step: Callable[[Column, Column], Column], x, final: Callable[[Column], Column] | None = None, exemplary: bool = False) -> Agg:
-    """init / trans / final as columns, over the group's values in sorted order."""
+    """init / trans / final as columns, over the group's values in sorted order, which one task holds: for groups of bounded size.
+    Others are for group_fold() with a HostAgg, whose states merge."""
     values = F.array_sort(F.collect_list(_c(x)))
     return Agg(name, F.aggregate(values, zero, step, final) if final else F.aggregate(values, zero, step), exemplary)
 
 
+IGNORE, KEEP, REPLACE, DELETE = "ignore", "keep", "replace", "delete"
+
+
+class HostAgg:
+    """An aggregate in the host language, for group_fold() and arg_fold(); any method may be overridden.
+
+    trans() gives the new state and what is to become of the input in an arg-aggregate: IGNORE, KEEP (beside those kept), REPLACE (them),
+    or (DELETE, values) (keep it, and drop kept rows of these values). merge() joins the states of two parts of a group."""
+
+    def init(self, value):
+        return value
+
+    def trans(self, state, value):
+        return state, IGNORE
+
+    def merge(self, a, b):
+        return self.trans(a, b)[0]
+
+    def final(self, state):
+        return state
+
+
 BY_NAME: dict[str, Callable] = {"min": min_, "max": max_, "bool_and": bool_and, "bool_or": bool_or, "choose": choose, "choose_rand": choose_rand, "sum": sum_, "count": count, "avg": avg, "accum": accum}

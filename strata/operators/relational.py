@@ -282,11 +282,12 @@ def argmax(df: DataFrame, keys: Sequence[str] | None, column: str) -> DataFrame:
     return argagg(df, "max", keys, column)
 
 
-def reduce(df: DataFrame, init, step: Callable, merge: Callable, schema: str) -> DataFrame:
-    """A host-language fold: step(memo, row) within partitions, merge(memo, memo) of their memos, then the memo's rows.
+def reduce(df: DataFrame, init, step: Callable, merge: Callable, schema: str, fan_in: int = 256) -> DataFrame:
+    """A host-language fold: step(memo, row) within partitions, merge(memo, memo) of their memos in two levels, then the memo's rows.
 
-    A memo is a list of rows or a dict of key to value; it must start as `init` and its size must be bounded. Empty input
-    gives init's rows. Aggregates that Spark has should be written with group()."""
+    A memo is a list of rows or a dict of key to value; it must start as `init` and its size must be bounded. The input's partitions
+    stay as they are: only memos are shuffled, fan_in of them to a group. Empty input gives init's rows. Aggregates that Spark has
+    should be written with group()."""
     spark, columns = df.sparkSession, df.columns
     if not isinstance(init, (list, dict, tuple, set)):
         raise TypeMismatchError("a memo is a list of rows or a dict")
@@ -295,27 +296,114 @@ def reduce(df: DataFrame, init, step: Callable, merge: Callable, schema: str) ->
     def part(frames):
         import copy
 
+        from pyspark import TaskContext
+
         memo, any_ = copy.deepcopy(init), False
         for pdf in frames:
             for row in pdf.itertuples(index=False, name=None):
                 memo, any_ = step(memo, dict(zip(columns, row))), True
         if any_:
-            yield pd.DataFrame({"memo": [pickle.dumps(memo)]})
+            yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "memo": [pickle.dumps(memo)]})
 
-    def done(frames):
+    def together(pdfs):
         memo = None
-        for pdf in frames:
+        for pdf in pdfs:
             for m in map(pickle.loads, pdf.memo):
                 memo = m if memo is None else merge(memo, m)
+        return memo
+
+    def some(pdf):
+        return pd.DataFrame({"memo": [pickle.dumps(together([pdf]))]})
+
+    def done(frames):
+        memo = together(frames)
         memo = init if memo is None else memo
         rows = [(k, *(v if isinstance(v, (tuple, list)) else (v,))) for k, v in memo.items()] if isinstance(memo, dict) else [tuple(r) for r in memo]
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
     names = spark.createDataFrame([], schema).columns
-    memos = df.mapInPandas(part, "memo binary")
+    memos = df.mapInPandas(part, "at int, memo binary").groupBy(F.floor(F.col("at") / fan_in)).applyInPandas(some, "memo binary")
     seed = spark.createDataFrame([], "memo binary")
-    return memos.unionByName(seed).coalesce(1).mapInPandas(done, schema)  # one memo for each partition
+    return memos.unionByName(seed).repartition(1).mapInPandas(done, schema)  # one memo for fan_in partitions
+
+
+def group_fold(df: DataFrame, keys: Sequence[str] | None, column: str, agg: A.HostAgg, name: str, type_: str) -> DataFrame:
+    """An aggregate in the host language: each partition folds its own rows of a group into a state, and the states of a group are
+    merged, so no task holds a group's rows."""
+    import pickle
+
+    keys, kinds = list(keys or []), {f.name: f.dataType.simpleString() for f in df.schema}
+    slim = df.select(*keys, F.col(column).alias("_x"))
+
+    def part(frames):
+        states: dict[tuple, object] = {}
+        for pdf in frames:
+            for *k, x in pdf.itertuples(index=False, name=None):
+                k = tuple(None if v != v else v for v in k)
+                states[k] = agg.trans(states[k], x)[0] if k in states else agg.init(x)
+            if len(states) > 50_000:
+                yield rows(states)
+                states = {}
+        if states:
+            yield rows(states)
+
+    def rows(states):
+        return pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*keys, "_state"])
+
+    def merged(key, pdf):
+        states = map(pickle.loads, pdf["_state"])
+        state = next(states)
+        for s in states:
+            state = agg.merge(state, s)
+        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), agg.final(state))], columns=[*keys, name])
+
+    head = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    partial = slim.mapInPandas(part, f"{head}_state binary")
+    grouped = partial.groupBy(*keys) if keys else partial.groupBy(F.lit(1))
+    return grouped.applyInPandas(merged, f"{head}`{name}` {type_}")
+
+
+def arg_fold(df: DataFrame, keys: Sequence[str] | None, column: str, agg: A.HostAgg) -> DataFrame:
+    """Rows that an aggregate of one's own keeps: its trans() says of each input, in order of value, whether it is ignored, kept beside
+    those kept so far, kept in their place, or makes some of them go. What one partition discards can't be kept in the end, so
+    each partition keeps its own and the kept rows of a group meet."""
+    keys, columns = list(keys or []), df.columns
+    place, key_at = columns.index(column), [columns.index(k) for k in keys]
+
+    def keep(rows: list[tuple]) -> list[tuple]:
+        state, kept = None, []
+        for i, row in enumerate(sorted(rows, key=lambda r: (r[place] is None, r[place], repr(r)))):
+            state, flag = (agg.init(row[place]), A.KEEP) if i == 0 else agg.trans(state, row[place])
+            if flag == A.KEEP:
+                kept.append(row)
+            elif flag == A.REPLACE:
+                kept = [row]
+            elif isinstance(flag, tuple) and flag[0] == A.DELETE:
+                gone = set(flag[1])
+                kept = [r for r in kept if r[place] not in gone] + [row]
+            elif flag != A.IGNORE:
+                raise CompileError(f"not a flag: {flag!r}")
+        return kept
+
+    def part(frames):
+        groups: dict[tuple, list[tuple]] = {}
+        for pdf in frames:
+            for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None):
+                own = groups.setdefault(tuple(row[i] for i in key_at), [])
+                own.append(row)
+                if len(own) > 1000:
+                    own[:] = keep(own)
+        kept = [r for own in groups.values() for r in keep(own)]
+        if kept:
+            yield pd.DataFrame(kept, columns=columns)
+
+    def merged(pdf):
+        return pd.DataFrame(keep(list(pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None))), columns=columns)
+
+    partial = df.distinct().mapInPandas(part, df.schema)
+    grouped = partial.groupBy(*keys) if keys else partial.groupBy(F.lit(1))
+    return grouped.applyInPandas(merged, df.schema)
 
 
 # --- order -----------------------------------------------------------------------------------------------------------
@@ -328,11 +416,13 @@ def sort(df: DataFrame, *order) -> DataFrame:
 def with_index(df: DataFrame, *order, name: str = "i", materialise: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows with their 0-based place in the order (all columns if none is given).
 
-    Rows are range-partitioned and numbered within partitions; the partitions' counts, one row each, give the offsets. Without
-    materialise(), which must write and reread its input, a window numbers the rows in one task."""
+    Rows are range-partitioned and numbered within partitions; the partitions' counts, one row each, give the offsets.
+    materialise() writes and rereads its input: it is the program's in rules, and by default a folder of its own."""
     order = order or tuple(df.columns)
     if materialise is None:
-        return df.select("*", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias(name))
+        from strata.plans.storage import Storage
+
+        materialise = Storage(df.sparkSession).write
     ranged = df.repartitionByRange(*(F.col(c) if isinstance(c, str) else c for c in order)).sortWithinPartitions(*order)
     mono = F.monotonically_increasing_id()
     placed = materialise(ranged.select("*", F.shiftright(mono, 33).cast("int").alias("_part"), mono.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))

@@ -10,10 +10,12 @@ Rules are Rel expressions, so each component is an ordinary DataFrame plan; stat
 from __future__ import annotations
 
 import datetime as dt
+import signal
+import threading
 import uuid
-from collections import Counter, defaultdict
+from collections import ChainMap, Counter, defaultdict, deque
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -159,6 +161,13 @@ def cell(lattice: lat.Lattice, type_: str):
     return Decl(CELL, lattice, type_)
 
 
+#: Collections that every program has, declared when they are first named. localtick: a row sent to it starts another step.
+BUILTIN: dict[str, Callable[[Program], Decl]] = {
+    "localtick": lambda p: loopback("col1 string"),
+    "periodics_tbl": lambda p: coll_expr(lambda: [(n, float(d.options["seconds"])) for n, d in p._decls.items() if d.kind == PERIODIC], "pername string", "period double"),
+}
+
+
 def rules(f):
     """Marks a method as a block of rules; a subclass's method of that name takes its place."""
     f._strata_rules = True
@@ -254,12 +263,17 @@ class _Module:
 
 
 class Program:
-    """Options: address and network (for channels), clock, stdin and stdout (callables), channel_filter, trace, check_keys,
-    strict (joins of at most two instances of a collection), max_rounds, state_folder."""
+    """Options: address and network (for channels), clock, stdin and stdout (callables), channel_filter, trace (keep what each step
+    held and what was sent and received), trace_folder (write that as files), check_keys, strict (joins of at most two instances of a
+    collection), max_rounds, state_folder.
+
+    Steps, inserts and deliveries exclude each other, so threads and streams may share a program."""
 
     imports: dict[str, type] = {}
+    #: Collections declared elsewhere that are inputs or outputs too: name to `input` or `output`.
+    interfaces: dict[str, str] = {}
 
-    def __init__(self, spark: SparkSession, *, address: str = "local", network=None, clock: Callable[[], dt.datetime] | None = None, stdout: Callable[[str], None] = print, channel_filter: Callable[[str, DataFrame], tuple[DataFrame, DataFrame]] | None = None, trace: bool = False, check_keys: bool = True, strict: bool = False, max_rounds: int = fixpoint.MAX_ROUNDS, state_folder: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, *, address: str = "local", network=None, clock: Callable[[], dt.datetime] | None = None, stdout: Callable[[str], None] = print, channel_filter: Callable[[str, DataFrame], tuple[DataFrame, DataFrame]] | None = None, trace: bool = False, trace_folder: str | None = None, check_keys: bool = True, strict: bool = False, max_rounds: int = fixpoint.MAX_ROUNDS, state_folder: str | None = None) -> None:
         self.spark, self.address, self.network, self.stdout = spark, address, network, stdout
         self.channel_filter, self.check_keys, self.strict, self.max_rounds = channel_filter, check_keys, strict, max_rounds
         self._clock = clock or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
@@ -280,7 +294,16 @@ class Program:
         self._waiting = False
         self._plan = None
         self._started = False
-        self.trace_log: list[tuple[int, str, int]] | None = [] if trace else None
+        self._marks: dict[str, bool] = {}
+        self._lock, self._wake, self._actions = threading.RLock(), threading.Event(), deque()
+        self._thread: threading.Thread | None = None
+        self._after_shutdown: list[Callable[[], None]] = []
+        self.failure: BaseException | None = None
+        self._grown: dict[str, fixpoint.Runs] = {}
+        self.trace_log: list[tuple[int, str, int]] | None = [] if trace or trace_folder else None
+        self.trace_folder = trace_folder
+        #: (sent, received or slept, step, collection, rows, time), where tracing is on.
+        self.message_log: list[tuple[str, int, str, DataFrame | None, float]] = []
         self.trace_states: list[tuple[int, dict[str, DataFrame]]] = []
         self.tick_times: list[float] = []
         self._declare(type(self), "")
@@ -295,6 +318,13 @@ class Program:
             for name, d in vars(base).items():
                 if isinstance(d, Decl):
                     self._add(prefix + name, d)
+        for base in reversed(cls.__mro__):
+            for name, direction in vars(base).get("interfaces", {}).items():
+                if direction not in (INPUT, OUTPUT):
+                    raise CompileError("an interface is input or output")
+                if prefix + name not in self._decls:
+                    raise CompileError(f"no collection {name}")
+                self._marks[prefix + name] = direction == INPUT
         for name, module in getattr(cls, "imports", {}).items():
             self._modules[prefix + name] = _Module(self, f"{prefix}{name}.")
             self._declare(module, f"{prefix}{name}.")
@@ -321,6 +351,11 @@ class Program:
         self._block = None
 
     def __getitem__(self, name: str) -> Coll:
+        if name not in self._decls and name in BUILTIN:
+            decl = BUILTIN[name](self)
+            decl.name = name
+            self._add(name, decl)
+            self._plan = None
         if name not in self._decls:
             raise CompileError(f"no collection {name}")
         return Coll(self, name)
@@ -330,7 +365,7 @@ class Program:
         if name in modules:
             return modules[name]
         decls = self.__dict__.get("_decls", {})
-        if name in decls:
+        if name in decls or (decls and name in BUILTIN):
             return self[name]
         raise AttributeError(name)
 
@@ -406,7 +441,8 @@ class Program:
         return self._plan
 
     def provides(self) -> list[tuple[str, bool]]:
-        return [(n, d.kind == INPUT) for n, d in self._decls.items() if d.kind in (INPUT, OUTPUT)]
+        """Inputs (true) and outputs, by their declaration or marked by `interfaces`."""
+        return [(n, self._marks.get(n, d.kind == INPUT)) for n, d in self._decls.items() if d.kind in (INPUT, OUTPUT) or n in self._marks]
 
     def underspecified(self) -> list[tuple[str, bool]]:
         """Inputs that no rule reads, and outputs that no rule writes."""
@@ -424,27 +460,33 @@ class Program:
         """Rows (or a DataFrame) to merge at the next step; into a channel or terminal, to send."""
         if self._block is not None:
             raise CompileError("insert() is for the host, not for rules")
+        self[name]
         kind = self._decls[name].kind
         if kind in (READONLY, PERIODIC):
             raise CompileError(f"{name} is read-only")
         df = self._frame(name, rows)
-        if kind == CHANNEL:
-            self._send(name, df)
-        elif kind == LOOPBACK:
-            self._inbox[name].append(self._keep(df, name))
-        elif kind == TERMINAL:
-            self._print(df)
-        else:
-            self._deferred["<+"][name].append(self._keep(df, name))
+        with self._lock:
+            if kind == CHANNEL:
+                self._send(name, df)
+            elif kind == LOOPBACK:
+                self._inbox[name].append(self._keep(df, name))
+            elif kind == TERMINAL:
+                self._print(df)
+            else:
+                self._deferred["<+"][name].append(self._keep(df, name))
+        self._wake.set()
 
     def type_line(self, line: str) -> None:
         """A line that the terminal reads in the next step."""
         self._stdin.append(line)
+        self._wake.set()
 
     def _defer(self, op: str, name: str, rows) -> None:
         if self._decls[name].kind not in LEGAL[op]:
             raise CompileError(f"{name} takes no {op}")
-        self._deferred[op][name].append(self._keep(self._frame(name, rows), name))
+        with self._lock:
+            self._deferred[op][name].append(self._keep(self._frame(name, rows), name))
+        self._wake.set()
 
     def _frame(self, name: str, rows) -> DataFrame:
         if isinstance(rows, DataFrame):
@@ -481,15 +523,71 @@ class Program:
         del self._callbacks[number]
 
     def on_shutdown(self, f: Callable[[], None]) -> None:
+        """f is called when the program stops, while it is still on its network."""
         self._shutdown.append(f)
 
-    def sync_do(self, f: Callable[[Program], None] | None = None) -> None:
-        """Host code between steps, then a step."""
-        if f:
-            f(self)
-        self.tick()
+    def on_post_shutdown(self, f: Callable[[], None]) -> None:
+        """f is called when the program has stopped and left its network."""
+        self._after_shutdown.append(f)
+
+    def stop_on_signals(self, *numbers: int) -> None:
+        """Stops at these signals (SIGINT and SIGTERM if none is given), until then in the place of their handlers."""
+        numbers = numbers or (signal.SIGINT, signal.SIGTERM)
+        before = {n: signal.getsignal(n) for n in numbers}
+        for n in numbers:
+            signal.signal(n, lambda *_: self.stop())
+        self.on_post_shutdown(lambda: [signal.signal(n, f) for n, f in before.items()])
+
+    def sync_do(self, f: Callable[[Program], object] | None = None) -> object:
+        """Host code between steps, then a step; returns what f returns when that step is done."""
+        if self._in_background():
+            done: Future = Future()
+            self._actions.append((f, done))
+            self._wake.set()
+            return done.result()
+        with self._lock:
+            out = f(self) if f else None
+            self.tick()
+        return out
 
-    async_do = sync_do
+    def async_do(self, f: Callable[[Program], object] | None = None) -> Future:
+        """Host code before the next step, which is taken soon in the background or else when the host takes one. Doesn't wait."""
+        done: Future = Future()
+        self._actions.append((f, done))
+        self._wake.set()
+        return done
+
+    def _in_background(self) -> bool:
+        return self._thread is not None and self._thread.is_alive() and threading.current_thread() is not self._thread
+
+    def run_bg(self, idle: float = 0.05) -> None:
+        """Steps in a thread of its own while something waits to happen, until stop(). idle: seconds between looks at timers."""
+        if self._thread is not None and self._thread.is_alive():
+            raise IllegalSourceError("the program runs in the background already")
+
+        def loop() -> None:
+            first = True
+            while not self.stopped:
+                if not self.paused and (first or self.pending() or self._timer_due()):
+                    first = False
+                    try:
+                        self.tick()
+                    except BaseException as e:  # noqa: BLE001  kept for the host, which sees that the thread has ended
+                        self.failure = e
+                        break
+                else:
+                    if self.trace_log is not None:
+                        self.message_log.append(("slept", self.step, "", None, self._clock().timestamp()))
+                    self._wake.wait(idle)
+                    self._wake.clear()
+            for _, done in self._actions:
+                done.cancel()
+
+        self._thread = threading.Thread(target=loop, daemon=True, name=f"program-{self.address}")
+        self._thread.start()
+
+    def _timer_due(self) -> bool:
+        return any(d.kind == PERIODIC and (n not in self._due or self._clock() >= self._due[n]) for n, d in self._decls.items())
 
     def sync_callback(self, name: str, rows, out: str, max_ticks: int = 100) -> list[tuple]:
         """Inserts rows and steps until `out` has rows; returns them."""
@@ -497,6 +595,16 @@ class Program:
         return self.delta(out, max_ticks)
 
     def delta(self, out: str, max_ticks: int = 100) -> list[tuple]:
+        """The rows of `out` in the next step that has any."""
+        if self._in_background():
+            done: Future = Future()
+            number = self.on(out, lambda df: done.done() or done.set_result(sorted((tuple(r) for r in df.collect()), key=repr)))
+            self._shutdown.append(lambda: done.done() or done.set_exception(ShutdownWithCallbacksError(f"stopped while waiting for {out}")))
+            self._wake.set()
+            try:
+                return done.result()
+            finally:
+                self.off(number)
         self._waiting = True
         try:
             for _ in range(max_ticks):
@@ -518,7 +626,7 @@ class Program:
         return n
 
     def pending(self) -> bool:
-        return bool(any(any(x.values()) for x in self._deferred.values()) or any(self._inbox.values()) or self._stdin)
+        return bool(any(any(x.values()) for x in self._deferred.values()) or any(self._inbox.values()) or self._stdin or self._actions)
 
     def pause(self) -> None:
         self.paused = True
@@ -527,12 +635,18 @@ class Program:
         self.paused = False
 
     def stop(self) -> None:
+        """No step follows; waits for one that is under way in the background."""
         if not self.stopped:
             self.stopped = True
+            self._wake.set()
+            if self._in_background():
+                self._thread.join()
             for f in self._shutdown:
                 f()
             if self.network is not None:
                 self.network.leave(self)
+            for f in self._after_shutdown:
+                f()
 
     def close(self) -> None:
         """stop(), and deletes the program's state files."""
@@ -554,6 +668,10 @@ class Program:
     def time(self) -> Column:
         return F.lit(self.step)
 
+    def here(self) -> Column:
+        """The program's own address."""
+        return F.lit(self.address)
+
     def at_step(self, f: Callable[[Program], list | DataFrame], keys=None, vals=None) -> Rel:
         """A relation that is made anew in each step, from the step's own time and clock."""
         schema = Schema.of(keys, vals)
@@ -562,8 +680,19 @@ class Program:
     # --- a step
     def tick(self, inputs: dict[str, object] | None = None) -> None:
         """One timestep. inputs: rows for collections, as by insert()."""
+        with self._lock:
+            self._tick(inputs)
+
+    def _tick(self, inputs: dict[str, object] | None) -> None:
         if self.stopped:
             raise IllegalSourceError("the program has stopped")
+        actions = [self._actions.popleft() for _ in range(len(self._actions))]
+        made = []
+        for f, done in actions:
+            try:
+                made.append((done, f(self) if f else None))
+            except Exception as e:  # noqa: BLE001  it is the caller's
+                done.set_exception(e)
         began = dt.datetime.now()
         if not self._started:
             self._started = True
@@ -580,19 +709,33 @@ class Program:
             if not state[name].isEmpty():
                 f(state[name])
         if self.trace_log is not None:
-            self.trace_log += [(self.step, n, df.count()) for n, df in state.items()]
-            self.trace_states.append((self.step, state))
+            self._trace(state)
         halted = "halt" in state and self._has_rules("halt", "<=") and not state["halt"].isEmpty()
         self.step += 1
         self.clock = None
         self.tick_times.append((dt.datetime.now() - began).total_seconds())
+        for done, value in made:
+            done.set_result(value)
         if halted:
             self.stop()
 
+    def _trace(self, state: dict[str, DataFrame]) -> None:
+        """Keeps what each collection holds in this step; in files, where a folder was given for that."""
+        if self.trace_folder is None:
+            self.trace_log += [(self.step, n, df.count()) for n, df in state.items()]
+            self.trace_states.append((self.step, dict(state)))
+            return
+        files = Storage(self.spark, self.trace_folder)
+        kept = {n: files.counted_at(df, f"{self.trace_folder}/contents/{n}/tick={self.step}") for n, df in state.items()}
+        rows = [(self.step, n, k) for n, (_, k) in kept.items()]
+        self.spark.createDataFrame(rows, "tick long, table_name string, n long").coalesce(1).write.parquet(f"{self.trace_folder}/cardinalities/tick={self.step}")
+        self.trace_log += rows
+        self.trace_states.append((self.step, {n: df for n, (df, _) in kept.items()}))
+
     def _has_rules(self, name: str, op: str) -> bool:
         return any(r[0] == name and r[1] == op for r in self._rules)
 
-    def _boot(self) -> None:
+    def _load_durable(self) -> None:
         for name, d in self._decls.items():
             if d.kind == DURABLE:
                 from strata.sources.durable import latest
@@ -600,6 +743,9 @@ class Program:
                 found = latest(self.spark, d.options["path"], self._schemas[name].struct)
                 if found is not None:
                     self._state[name] = found
+
+    def _boot(self) -> None:
+        self._load_durable()
         for name in dir(type(self)):
             f = getattr(type(self), name, None)
             if callable(f) and getattr(f, "_strata_bootstrap", False):
@@ -639,6 +785,9 @@ class Program:
                         else:
                             old = old.limit(0)
                         changed = True
+                if changed and old is not None and old is self._state.get(name):
+                    base[name] = self._more(name, old, new)
+                    return
                 df = self._union(name, [*([old] if old is not None else []), *new])
                 base[name] = self._settled(name, df) if changed else df
             elif d.kind in (SCRATCH, INPUT, OUTPUT, TEMP):
@@ -660,10 +809,30 @@ class Program:
     def _union(self, name: str, dfs: list[DataFrame]) -> DataFrame:
         return fold(lambda a, b: a.unionByName(b), dfs) if dfs else self._empty(name)
 
+    def _more(self, name: str, old: DataFrame, new: list[DataFrame]) -> DataFrame:
+        """A table with more rows: only those that it doesn't have are written, as one more run of files, and only their keys are
+        checked; `old` itself where there are none."""
+        s, runs = self._schemas[name], self._grown.get(name)
+        if s.lattices or runs is None or runs.df() is not old:
+            return self._settled(name, self._union(name, [old, *new]))
+        fresh, n = self.storage.counted(fixpoint.added(self._union(name, new).distinct(), old), name)
+        if not n:
+            return old
+        if self.check_keys and s.plain_vals:
+            same = old.alias("o").join(fresh.alias("n"), fixpoint.same_row(s.key_cols), "left_semi") if s.key_cols else old
+            s.check(fresh.unionByName(same), name)
+        runs.add(fresh, n)
+        return runs.df()
+
     def _settled(self, name: str, df: DataFrame) -> DataFrame:
         """df as the set that a collection holds, written and with its key checked."""
         s = self._schemas[name]
-        out = self._keep(s.merged(df), name)
+        if self._decls[name].kind in (TABLE, DURABLE) and not s.lattices:
+            out, n = self.storage.counted(s.merged(df), name)
+            self._grown[name] = fixpoint.Runs(self.storage, name, out, n)
+            out = self._grown[name].df()
+        else:
+            out = self._keep(s.merged(df), name)
         if self.check_keys:
             s.check(out, name)
         kind = self._decls[name].args[0]
@@ -719,8 +888,11 @@ class Program:
             flat = {n: [state[n]] + [self._schemas[n].align(rel.build(env)) for lhs, rel in own if lhs == n and not any(s.name in inside for s, _ in rel.scans())] for n in component}
             if not recursive:
                 (name,) = component
-                df = self._union(name, flat[name])
                 s, kind = self._schemas[name], self._decls[name].kind
+                if kind in (TABLE, DURABLE) and len(flat[name]) > 1:
+                    state[name] = self._more(name, flat[name][0], flat[name][1:])
+                    return
+                df = self._union(name, flat[name])
                 lasting = kind in (TABLE, DURABLE, CELL) or readers[name] > 1 or (self.check_keys and s.plain_vals)
                 state[name] = self._settled(name, df) if lasting else s.merged(df)
                 return
@@ -731,14 +903,16 @@ class Program:
                 for lhs, rel in looping:
                     places = [s for s, _ in rel.scans() if s.name in inside]
                     if len({id(s) for s in places}) < len(places):  # one expression in two places can't be told apart
-                        out[lhs].append(rel.build(self._env({**state, **full})))
+                        out[lhs].append(rel.build(self._env(ChainMap(full, state))))
                         continue
                     for place in places:  # one term for each recursive scan, with the delta in its place
                         if place.name in delta:
-                            out[lhs].append(rel.build(self._env({**state, **full}, {id(place): delta[place.name]})))
+                            out[lhs].append(rel.build(self._env(ChainMap(full, state), {id(place): delta[place.name]})))
                 return out
 
-            solved = fixpoint.solve({n: self._union(n, dfs) for n, dfs in flat.items()}, step, {n: self._schemas[n] for n in component}, self.storage, self.max_rounds)
+            grown: dict[str, fixpoint.Runs] = {}
+            solved = fixpoint.solve({n: self._union(n, dfs) for n, dfs in flat.items()}, step, {n: self._schemas[n] for n in component}, self.storage, self.max_rounds, grown=grown)
+            self._grown.update({n: r for n, r in grown.items() if self._decls[n].kind in (TABLE, DURABLE)})
             for name, df in solved.items():
                 if self.check_keys:
                     self._schemas[name].check(df, name)
@@ -774,6 +948,7 @@ class Program:
                 raise CompileError(f"{scan.name} is read before it is defined")
             return state[scan.name]
 
+        env.write = self.storage.write
         return env
 
     def _transition(self, state: dict[str, DataFrame], before: dict[str, DataFrame]) -> None:
@@ -811,22 +986,65 @@ class Program:
 
     def _send(self, name: str, df: DataFrame) -> None:
         loc = self._schemas[name].location
+        self._log_messages("sent", name, df)
         if self.network is None:
-            own = self._keep(df.where(F.col(loc) == self.address), name)
-            if not own.isEmpty():
+            own, n = self.storage.counted(df.where(F.col(loc) == self.address), name)
+            if n:
+                self._log_messages("received", name, own)
                 self._inbox[name].append(own)
         else:
-            self.network.send(name, loc, df)
+            self.network.send(name, loc, df, self)
+
+    def _log_messages(self, kind: str, name: str, df: DataFrame) -> None:
+        if self.trace_log is not None:
+            self.message_log.append((kind, self.step, name, df, self._clock().timestamp()))
 
     def _print(self, df: DataFrame) -> None:
         for row in df.toLocalIterator():
             self.stdout(row[0])
 
-    def deliver(self, name: str, df: DataFrame) -> None:
-        """Messages from the network or a stream, for the next step."""
+    def deliver(self, name: str, df: DataFrame, written: bool = False) -> None:
+        """Messages from the network or a stream, for the next step. written: df reads from files already."""
         if name not in self._decls or self._decls[name].kind not in (CHANNEL, LOOPBACK):
             raise IllegalSourceError(f"{name} receives no messages")
-        self._inbox[name].append(self._keep(self._schemas[name].align(df), name))
+        df = self._schemas[name].align(df)
+        with self._lock:
+            self._inbox[name].append(df if written else self._keep(df, name))
+            self._log_messages("received", name, self._inbox[name][-1])
+        self._wake.set()
+
+    # --- snapshots
+    def snapshot(self, folder: str, marks: dict[str, int] | None = None) -> None:
+        """Writes what outlives a step (tables, cells, what is deferred or has arrived, the step's number) and some numbers of the
+        caller's to a new version below folder. It counts once all of it is written."""
+        from strata.sources.durable import commit_manifest
+
+        with self._lock:
+            frames = [("state", n, df) for n, df in self._state.items() if self._decls[n].kind in (TABLE, CELL)]
+            frames += [(op, n, df) for op, of in self._deferred.items() for n, dfs in of.items() for df in dfs]
+            frames += [("inbox", n, df) for n, dfs in self._inbox.items() for df in dfs]
+            commit_manifest(self.spark, folder, frames, {"step": self.step, **{f"mark.{k}": v for k, v in (marks or {}).items()}})
+
+    def restore(self, folder: str) -> dict[str, int] | None:
+        """Takes the last snapshot of a program with these declarations; returns its numbers, or None if there is no snapshot."""
+        from strata.sources.durable import read_manifest
+
+        found = read_manifest(self.spark, folder)
+        if found is None:
+            return None
+        frames, numbers = found
+        with self._lock:
+            for kind, name, path in frames:
+                df = self.spark.read.schema(self._schemas[name].struct).parquet(path)
+                if kind == "state":
+                    self._state[name] = df
+                elif kind == "inbox":
+                    self._inbox[name].append(df)
+                else:
+                    self._deferred[kind][name].append(df)
+            self.step, self._started = numbers["step"], True
+            self._load_durable()
+        return {k.removeprefix("mark."): v for k, v in numbers.items() if k.startswith("mark.")}
 
 
 __all__ = ["Program", "Coll", "KeyConstraintError", "table", "scratch", "interface", "channel", "loopback", "periodic", "terminal", "file_reader", "coll_expr", "readonly", "durable", "lmax", "lmin", "lbool", "lset", "lpset", "lbag", "lmap", "cell", "rules", "bootstrap"]

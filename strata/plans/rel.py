@@ -128,14 +128,21 @@ class Rel:
 
     inject = reduce
 
+    def group_fold(self, keys, column: str, agg: A.HostAgg, name: str, type_: str) -> Rel:
+        return self._unary(lambda d: O.group_fold(d, keys, column, agg, name, type_), True, list(keys or []))
+
+    def arg_fold(self, keys, column: str, agg: A.HostAgg) -> Rel:
+        return self._unary(lambda d: O.arg_fold(d, keys, column, agg), True, self._keys)
+
     def sort(self, *order) -> Rel:
         out = self._unary(lambda d: d, True, self._keys)
         out.order = order
         return out
 
     def each_with_index(self, name: str = "i") -> Rel:
+        """Rows with their place in the order of a sort() before it, or of all columns; numbered by ranges, of which tasks hold one."""
         order = getattr(self, "order", ())
-        return self._unary(lambda d: O.with_index(d, *order, name=name), True)
+        return Rel(lambda env: O.with_index(self.build(env), *order, name=name, materialise=getattr(env, "write", None)), [(s, True) for s, _ in self.scans()])
 
     # lattice functions: of cells, whose relation has the value in column v (lmax, lmin, lbool), or is keyed by element or key
     def gt(self, n) -> Rel:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,9 +112,9 @@ def word_count_reduce(spark, d):
     return O.reduce(t(spark, d, "events").select("event_type"), {}, step, merge, "k string, n long")
 
 
-@query("SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[Tt]hink|[Mm]ore')")
+@query("SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[Ll]icen[cs]e|http|@')")
 def grep_lines(spark, d):
-    return O.flat_map(t(spark, d, "documents"), F.split("text", "\n"), "doc_id", "line", name="line").where(F.col("line").rlike("[Tt]hink|[Mm]ore")).distinct()
+    return O.flat_map(t(spark, d, "documents"), F.split("text", "\n"), "doc_id", "line", name="line").where(F.col("line").rlike("[Ll]icen[cs]e|http|@")).distinct()
 
 
 # --- joins ---------------------------------------------------------------------------------------------------------------
@@ -173,10 +175,15 @@ def outer(spark, d):
     return O.outer(t(spark, d, "orders"), t(spark, d, "lineitem"), {"o_orderkey": "l_orderkey"}, L["o_orderkey"].alias("o_orderkey"), R["l_partkey"].alias("l_partkey")).distinct()
 
 
-@query("SELECT x.o_orderkey AS a, y.o_orderkey AS b FROM (SELECT o_orderkey, l_partkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey IS NULL AND o_orderkey % 50 = 0) x JOIN (SELECT o_orderkey, l_partkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey IS NULL AND o_orderkey % 50 = 0) y ON x.l_partkey IS NOT DISTINCT FROM y.l_partkey")
+_MISSING = "(SELECT o_orderkey, l_partkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey IS NULL)"
+
+
+@query(f"SELECT x.o_orderkey AS a, y.least AS b FROM {_MISSING} x JOIN (SELECT l_partkey, min(o_orderkey) AS least FROM {_MISSING} GROUP BY l_partkey) y ON x.l_partkey IS NOT DISTINCT FROM y.l_partkey")
 def null_keys_match(spark, d):
-    missing = O.outer(t(spark, d, "orders"), t(spark, d, "lineitem"), {"o_orderkey": "l_orderkey"}, L["o_orderkey"].alias("k"), R["l_partkey"].alias("p")).where("p IS NULL AND k % 50 = 0")
-    return O.pairs(missing, missing, {"p": "p"}, L["k"].alias("a"), R["k"].alias("b"))
+    """All orders without line items, joined on their null part with the least of them."""
+    missing = O.outer(t(spark, d, "orders"), t(spark, d, "lineitem"), {"o_orderkey": "l_orderkey"}, L["o_orderkey"].alias("k"), R["l_partkey"].alias("p")).where("p IS NULL")
+    least = O.group_as(missing, ["p"], least=A.min_("k"))
+    return O.pairs(missing, least, {"p": "p"}, L["k"].alias("a"), R["least"].alias("b"))
 
 
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -245,10 +252,10 @@ def accum(spark, d):
     return out.withColumn("nations", F.array_join(F.col("nations").cast("array<string>"), ","))
 
 
-@query("SELECT quality, count(DISTINCT (doc_id, toxic)) AS n FROM labels GROUP BY quality")
+@query("SELECT quality, string_agg(DISTINCT doc_id || ':' || toxic, ',' ORDER BY doc_id || ':' || toxic) AS pairs FROM labels GROUP BY quality")
 def accum_pair(spark, d):
     out = O.group_as(t(spark, d, "labels"), ["quality"], pairs=A.accum_pair("doc_id", "toxic"))
-    return out.select("quality", F.size("pairs").cast("long").alias("n"))
+    return out.select("quality", F.array_join(F.array_sort(F.transform("pairs", lambda p: F.concat_ws(":", p["x"], p["y"]))), ",").alias("pairs"))
 
 
 @query("SELECT s_nationkey, min(s_name) AS one FROM supplier GROUP BY s_nationkey")
@@ -297,12 +304,16 @@ def argagg_bool_or(spark, d):
     return O.argagg(t(spark, d, "labels").select("quality", "doc_id", (F.col("toxic") == 1).alias("bad")), "bool_or", ["quality"], "bad")
 
 
-@query("SELECT DISTINCT user_id, true AS member FROM events")
+@query("SELECT user_id, true AS member, count(DISTINCT event_id) > 5 AS varies FROM events GROUP BY user_id")
 def choose_rand(spark, d):
-    """Which row is picked is no matter for SQL; that it is one of the group's own is."""
+    """Which row is picked is no matter for SQL; that it is one of the group's own is, and that another seed picks another where there
+    are more than a few to pick from."""
     e = t(spark, d, "events").select("user_id", "event_id")
-    picked = O.group_as(e, ["user_id"], event_id=A.choose_rand("event_id"))
-    return O.pairs(picked, e, {"user_id": "user_id", "event_id": "event_id"}, L["user_id"].alias("user_id"), F.lit(True).alias("member"))
+    picked = O.group_as(e, ["user_id"], **{f"s{i}": A.choose_rand("event_id", i) for i in range(12)}, n=A.count())
+    own = O.flat_map(picked, F.array(*(f"s{i}" for i in range(12))), "user_id", "n", "event_id", name="event_id").distinct()
+    found = O.pairs(own, e, {"user_id": "user_id", "event_id": "event_id"}, L["user_id"].alias("user_id"), L["n"].alias("n"), L["event_id"].alias("event_id"))
+    seen = found.distinct().groupBy("user_id", "n").agg(F.count(F.lit(1)).alias("k"))
+    return seen.select("user_id", F.lit(True).alias("member"), ((F.col("k") > 1) & (F.col("n") > 5)).alias("varies"))
 
 
 @query("SELECT 'none' AS k, CAST(0 AS bigint) AS n")
@@ -316,7 +327,18 @@ def reduce_empty(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i FROM orders")
 def sort_index(spark, d):
-    return O.with_index(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", materialise=Storage(spark).write)
+    p = _Numbered(spark)
+    p.tick({"rows": t(spark, d, "orders").select("o_totalprice", "o_orderkey")})
+    return p.placed.df().select("o_orderkey", "o_totalprice", "i")
+
+
+class _Numbered(P.Program):
+    rows = P.scratch("o_totalprice double, o_orderkey long")
+    placed = P.scratch("o_totalprice double, o_orderkey long, i long")
+
+    @P.rules
+    def number(p):
+        p.placed <= p.rows.sort("o_totalprice", "o_orderkey").each_with_index()
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -463,17 +485,19 @@ def reach_conversation(spark, d):
     return fixpoint.closure(step, lambda x: O.pairs(x, step, {"conv_id": "conv_id", "to_turn": "from_turn"}, L["conv_id"].alias("conv_id"), L["from_turn"].alias("from_turn"), R["to_turn"].alias("to_turn")), store)
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey OR true")
+@query("""WITH RECURSIVE child AS (SELECT 'c' || c_custkey AS c, 'n' || c_nationkey AS p FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+sg AS (SELECT a.c AS a, b.c AS b FROM child a JOIN child b ON a.p = b.p UNION SELECT x.c, y.c FROM sg JOIN child x ON x.p = sg.a JOIN child y ON y.p = sg.b)
+SELECT a, count(*) AS n, min(b) AS least FROM sg GROUP BY a""")
 def same_generation(spark, d):
-    """Nations have regions as parents and regions the world: all nations are of one generation."""
+    """Of customers of one segment and nations, as children of nations and regions: who has an ancestor in common at the same height."""
     store = Storage(spark)
-    n, r = t(spark, d, "nation"), t(spark, d, "region")
-    child = n.select(F.concat(F.lit("n"), "n_nationkey").alias("c"), F.concat(F.lit("r"), "n_regionkey").alias("p")).unionByName(r.select(F.concat(F.lit("r"), "r_regionkey").alias("c"), F.lit("world").alias("p")))
+    c, n = t(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), t(spark, d, "nation")
+    name = lambda letter, c: F.concat(F.lit(letter), c)
+    child = c.select(name("c", "c_custkey").alias("c"), name("n", "c_nationkey").alias("p")).unionByName(n.select(name("n", "n_nationkey").alias("c"), name("r", "n_regionkey").alias("p")))
     child = store.write(child, "child")
     base = O.pairs(child, child, {"p": "p"}, L["c"].alias("a"), R["c"].alias("b"))
     step = lambda x: O.combos([x, child, child], [((0, "a"), (1, "p")), ((0, "b"), (2, "p"))], S(1)["c"].alias("a"), S(2)["c"].alias("b"))
-    number = lambda c: F.substring(c, 2, 10).cast("int").alias(c)
-    return fixpoint.closure(base, step, store).where("a LIKE 'n%' AND b LIKE 'n%'").select(number("a"), number("b"))
+    return O.group_as(fixpoint.closure(base, step, store), ["a"], is_set=True, n=A.count(), least=A.min_("b"))
 
 
 # --- steps: deferred inserts, deletes and upserts --------------------------------------------------------------------------
@@ -592,6 +616,7 @@ class _Cells(P.Program):
     pos = P.scratch("v long")
     bag_sum = P.scratch("elem string", "v long")
     bag_both = P.scratch("elem string", "v long")
+    bag_any = P.lbag("string")
     common = P.scratch("k string", "v long")
     per_mod = P.scratch("m long", "v long")
     quorum = P.scratch("ok boolean")
@@ -613,6 +638,7 @@ class _Cells(P.Program):
         p.pos <= p.nums.pos_sum()
         p.bag_sum <= p.left.plus(p.right)
         p.bag_both <= p.left.intersect(p.right)
+        p.bag_any <= p.left.merge(p.right)
         p.common <= p.best.intersect(p.other)
         p.per_mod <= p.users.select((F.col("elem") % 7).alias("m"), "elem").group_count("m")
         p.quorum <= p.users.size().gt_eq(5).when_true()
@@ -656,9 +682,7 @@ def lbag_intersect(spark, d):
 
 @query("SELECT elem, max(n) AS v FROM (SELECT event_type AS elem, event_id % 2 AS side, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY elem")
 def lbag_union(spark, d):
-    p = _cells(spark, d)
-    schema = p.left.schema
-    return schema.merged(p.left.df().unionByName(p.right.df()))
+    return _cells(spark, d).bag_any.df()
 
 
 @query(f"SELECT event_type AS k, max({_K}) AS v FROM events GROUP BY 1")
@@ -779,15 +803,49 @@ def lmin_when_true(spark, d):
 # --- events and channels ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(floor(epoch(ts) / 3600) AS bigint) AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+class _Timer(P.Program):
+    """What comes in between two ticks of a timer is counted at the second."""
+
+    ev = P.interface("input", "id long, kind string")
+    timer = P.periodic(3600)
+    open_ = P.table("id long, kind string")
+    counts = P.table("bucket long, kind string", "n long")
+
+    @P.rules
+    def gather(p):
+        p.open_ <= p.ev
+        due = p.open_.notin(p.ev).exists(p.timer)  # what came in before this step
+        p.counts <= due.group(["kind"], n=A.count()).apply(lambda df: df.select(F.floor(F.unix_timestamp(F.lit(p.clock)) / 3600).cast("long") - 1, "kind", "n"), True)
+        p.open_.delete_(due)
+
+
+_HOURS = 6
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type, CAST(floor(epoch(ts) / 3600) AS bigint) AS hour FROM events), h AS (SELECT min(hour) AS low FROM e)
+SELECT hour AS bucket, event_type AS kind, count(*) AS n FROM e, h WHERE hour < low + {_HOURS} GROUP BY 1, 2""")
 def periodic_bucket(spark, d):
-    e = t(spark, d, "events").select("event_id", "event_type", F.floor(F.unix_timestamp("ts") / 3600).cast("long").alias("bucket"))
-    return O.group_as(e, ["bucket", "event_type"], is_set=True, n=A.count())
+    """The first hours of events, each hour's in a step of its own; the timer is due at each full hour."""
+    e = t(spark, d, "events").select("event_id", "event_type", F.floor(F.unix_timestamp("ts") / 3600).cast("long").alias("hour"))
+    low = e.agg(F.min("hour")).first()[0]
+    now = [dt.datetime.fromtimestamp(low * 3600, dt.timezone.utc).replace(tzinfo=None)]
+    p = _Timer(spark, clock=lambda: now[0])
+    for k in range(_HOURS):
+        p.tick({"ev": e.where(F.col("hour") == low + k).select("event_id", "event_type")})
+        now[0] += dt.timedelta(hours=1)
+    p.tick()
+    return p.counts.df()
 
 
-@query("SELECT user_id, max(ts) AS last FROM events GROUP BY 1")
+@query("SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")
 def last_heartbeat(spark, d):
-    return O.group_as(t(spark, d, "events").select("user_id", "ts"), ["user_id"], last=A.max_("ts"))
+    """Over the table as a stream."""
+    path, name = f"{Storage(spark).folder}/heartbeat", f"heartbeat_{uuid.uuid4().hex}"
+    events = t(spark, d, "events").select("user_id", "ts")
+    seen = batches.last_seen(spark.readStream.schema(t(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select("user_id", "ts"), "user_id", "ts")
+    latest: list[DataFrame] = []
+    seen.writeStream.outputMode("complete").foreachBatch(lambda df, n: latest.append(Storage(spark).write(df, name))).trigger(availableNow=True).option("checkpointLocation", path).start().awaitTermination()
+    return latest[-1] if latest else events.limit(0)
 
 
 class _Mail(P.Program):
@@ -890,7 +948,7 @@ def window_sessions(spark, d):
 
 @query("""WITH RECURSIVE e(lhs, body, neg, temporal) AS (VALUES ('hi', 'ev', false, false), ('users', 'ev', false, false), ('nums', 'ev', false, false), ('left', 'ev', true, false),
 ('right', 'ev', true, false), ('best', 'ev', false, false), ('other', 'ev', false, false), ('n_users', 'users', false, false), ('pos', 'nums', false, false), ('bag_sum', 'left', false, false),
-('bag_sum', 'right', false, false), ('bag_both', 'left', false, false), ('bag_both', 'right', false, false), ('common', 'best', false, false), ('common', 'other', false, false),
+('bag_sum', 'right', false, false), ('bag_both', 'left', false, false), ('bag_both', 'right', false, false), ('bag_any', 'left', false, false), ('bag_any', 'right', false, false), ('common', 'best', false, false), ('common', 'other', false, false),
 ('per_mod', 'users', false, false), ('quorum', 'users', false, false)), tc AS (SELECT lhs, body, body AS via, neg, temporal FROM e
 UNION SELECT e.lhs, tc.body, e.body, e.neg OR tc.neg, e.temporal OR tc.temporal FROM e JOIN tc ON e.body = tc.lhs) SELECT * FROM tc""")
 def dep_tc(spark, d):

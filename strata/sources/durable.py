@@ -31,6 +31,30 @@ def commit(df: DataFrame, path: str, keep: int = 2) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def commit_manifest(spark: SparkSession, folder: str, frames: list[tuple[str, str, DataFrame]], numbers: dict[str, int], keep: int = 2) -> None:
+    """A new version of some frames and numbers: the frames first, then the list of them, whose commit makes the version count."""
+    versions = _numbers(spark, f"{folder}/manifest")
+    n = (versions[-1] if versions else 0) + 1
+    rows = [("number", k, "", int(v)) for k, v in numbers.items()]
+    for i, (kind, name, df) in enumerate(frames):
+        path = f"{folder}/frames/v={n}/{i:04}-{name.replace('.', '-')}"
+        df.write.mode("overwrite").parquet(path)
+        rows.append((kind, name, path, 0))
+    spark.createDataFrame(rows, "kind string, name string, path string, n long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/v={n}")
+    for old in versions[: -keep + 1] if keep > 1 else versions:
+        clear(spark, f"{folder}/manifest/v={old}")
+        clear(spark, f"{folder}/frames/v={old}")
+
+
+def read_manifest(spark: SparkSession, folder: str) -> tuple[list[tuple[str, str, str]], dict[str, int]] | None:
+    """(kind, name, path) of the last version's frames, and its numbers."""
+    versions = _numbers(spark, f"{folder}/manifest")
+    if not versions:
+        return None
+    rows = spark.read.parquet(f"{folder}/manifest/v={versions[-1]}").orderBy("path").collect()  # a row for each collection
+    return [(r.kind, r.name, r.path) for r in rows if r.kind != "number"], {r.name: r.n for r in rows if r.kind == "number"}
+
+
 def clear(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,17 +10,25 @@ from pyspark.sql.streaming import StreamingQuery
 def drive(program, inputs: dict[str, DataFrame], checkpoint: str, trigger: dict | None = None) -> list[StreamingQuery]:
     """Starts a query for each stream: each micro-batch is delivered to its channel, or inserted, and followed by a step.
 
-    A batch that is delivered again after a failure meets set semantics: rows that are there already change nothing."""
+    Streams take turns: a batch and its step exclude those of other streams. After each step the program's state is committed with the
+    numbers of the batches in it, so a program that resumes from the checkpoint takes that state, and a batch that is delivered
+    again after a failure is left out."""
+    folder, done = f"{checkpoint}/_program", {}
+    if (marks := program.restore(folder)) is not None:
+        done.update(marks)
 
     def step(name: str):
         def run(batch: DataFrame, number: int) -> None:
-            if program.stopped:
-                return
-            if program._decls[name].kind in ("channel", "loopback"):
-                program.deliver(name, batch)
-            else:
-                program.insert(name, batch)
-            program.tick()
+            with program._lock:
+                if program.stopped or number <= done.get(name, -1):
+                    return
+                if program._decls[name].kind in ("channel", "loopback"):
+                    program.deliver(name, batch)
+                else:
+                    program.insert(name, batch)
+                program.tick()
+                done[name] = number
+                program.snapshot(folder, done)
 
         return run
 
@@ -61,14 +66,5 @@ def first_seen(df: DataFrame, keys: list[str], time: str, late: str) -> DataFram
 
 
 def last_seen(df: DataFrame, key: str, time: str) -> DataFrame:
-    """The latest time of each key so far, by state that Spark keeps for each key (key is a long, time a timestamp)."""
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        best = state.get[0] if state.exists else None
-        for pdf in frames:
-            top = pdf[time].max()
-            best = top if best is None or top > pd.Timestamp(best) else best
-        state.update((best,))
-        yield pd.DataFrame({key: [k[0]], time: [best]})
-
-    return df.select(key, time).groupBy(key).applyInPandasWithState(update, f"{key} long, {time} timestamp", "best timestamp", "update", "NoTimeout")
+    """The latest time of each key so far: a streaming maximum, of which Spark keeps one value for each key."""
+    return df.groupBy(key).agg(F.max(time).alias(time))

@@ -418,7 +418,10 @@ def test_labels(spark):
     assert ("i1", "i2", "stored", True) in analysis.channel_races(Mono(spark))
     assert analysis.output_report(Mono(spark)) == {"response": "A"}
     assert analysis.path_report(Mono(spark)) == {"response": {"i1_INPUT": "A", "i2_INPUT": "A"}}
-    assert analysis._collapse(["A"], "N") == ["D"] and analysis._collapse(["N"], "A") == ["N", "A"] and analysis.worst(["A", "N"]) == "D"
+    M, N, A, D = (analysis.Label(i) for i in range(4))
+    assert A.then(N) == D and N.then(A) == A and N.then(A).then(N) == D and D.then(M) == D and analysis.joined([A, N]) == D and analysis.joined([]) == M
+    assert all(x.then(y).then(z) == x.then(z) if not y else True for x in (M, N, A, D) for y in (M, N, A, D) for z in (M, N, A, D))
+    assert [(a, b, x.letter, why) for a, b, _, x, why in analysis.flows(Mono(spark))] == [("i1_INPUT", "response", "A", "way"), ("i2_INPUT", "response", "A", "way")]
 
 
 class Guards(P.Program):
@@ -516,6 +519,13 @@ def test_dependency_analysis(spark):
     assert {(r.pred, r.input) for r in report["underspecified"].collect()} == {("lost", True)}
     tags = analysis.path_tags(spark, deps, p.storage)
     assert {(r["from"], r.to, r.tag) for r in tags.collect()} >= {("link", "path", "M"), ("link", "rest", "N"), ("excl", "rest", "N")}
+    found = analysis.divergence_report(analysis.labelled_paths(deps, p.storage), spark.createDataFrame([("link",), ("excl",)], "pred string"))
+    assert {(r["from"], r.to, r.tag) for r in found["first"].collect()} >= {("link", "path", "M"), ("link", "rest", "N"), ("excl", "rest", "N")}
+    assert found["turning_points"].count() == 0 and ("link", "path", "M") in {(r["from"], r.to, r.tag) for r in found["uniform"].collect()}
+    far = spark.createDataFrame([(0, "b", "<~", "a", False), (1, "c", "<=", "b", False), (2, "d", "<=", "c", True), (3, "e", "<=", "d", False)], analysis.DEPENDS)
+    found = analysis.divergence_report(analysis.labelled_paths(far, p.storage), spark.createDataFrame([("a",)], "pred string"))
+    assert [(r["from"], r.up_to, r.path) for r in found["turning_points"].collect()] == [("a", ["a", "b"], ["a", "b", "c", "d"])]
+    assert [r.path for r in found["first"].where("tag = 'D'").collect()] == [["a", "b", "c", "d"]]
     bounds = analysis.tag_bounds()
     assert bounds["M", "A"] == "A" and bounds["A", "N"] == "D" and bounds["N", "A"] == "A" and bounds["D", "M"] == "D"
     assert "digraph" in analysis.dot(p) and "stratum" in p.explain()
