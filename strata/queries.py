@@ -943,6 +943,321 @@ def window_sessions(spark, d):
     return batches.sessions(t(spark, d, "events"), "ts", "6 hours", ["user_id"], F.count(F.lit(1)).alias("n")).select("user_id", "start", "n")
 
 
+# --- declarations, callbacks and host calls ----------------------------------------------------------------------------------------
+
+
+class _Temp(P.Program):
+    """A temporary relation, joined with a table; a bootstrap; a rule whose rows are literal; a read-only view and a lookup with a cell."""
+
+    nation = P.scratch("k long, region long")
+    start = P.table("region long", "name string")
+    top = P.lmax("long")
+    view = P.coll_expr(lambda: [(0, "zero"), (1, "one"), (2, "two")], "region long", "word string")
+    named = P.scratch("k long, name string, word string, top long")
+    fixed = P.scratch("k long, name string")
+
+    @P.bootstrap
+    def begin(p):
+        p.start.insert([(k, f"region {k}") for k in range(5)])
+
+    @P.rules
+    def relate(p):
+        even = p.temp("even", p.nation.where(F.col("k") % 2 == 0))
+        p.top <= p.nation.select("k")
+        both = (even * p.start).pairs({"region": "region"}, L["k"], L["region"], R["name"])
+        word = both.lookup(p.view, {"region": "region"}, L["k"].alias("k"), L["name"].alias("name"), R["word"].alias("word"))
+        p.named <= word.with_cell(p.top, "top", True)
+        p.fixed <= [(1, "literal"), (2, "rows")]
+        p.fixed <= p.named.select("k", "name")
+
+
+def _temp(spark, d) -> _Temp:
+    p = _Temp(spark)
+    p.tick({"nation": t(spark, d, "nation").select("n_nationkey", "n_regionkey")})
+    return p
+
+
+@query("""SELECT CAST(n_nationkey AS bigint) AS k, 'region ' || n_regionkey AS name, CASE n_regionkey WHEN 0 THEN 'zero' WHEN 1 THEN 'one' WHEN 2 THEN 'two' END AS word,
+(SELECT CAST(max(n_nationkey) AS bigint) FROM nation) AS top FROM nation WHERE n_nationkey % 2 = 0""")
+def temp_bootstrap_lookup(spark, d):
+    return _temp(spark, d).named.df()
+
+
+@query("SELECT CAST(n_nationkey AS bigint) AS k, 'region ' || n_regionkey AS name FROM nation WHERE n_nationkey % 2 = 0 UNION VALUES (1, 'literal'), (2, 'rows')")
+def literal_rows(spark, d):
+    return _temp(spark, d).fixed.df()
+
+
+class _Lines(P.Program):
+    words = P.table("lineno long, word string")
+
+    @P.rules
+    def split(p):
+        p.words <= p.text.flat_map(words(F.col("text")), "lineno", "word", name="word")
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY line) - 1 AS bigint) AS lineno, unnest(string_split(line, ' ')) AS word
+FROM (SELECT 'nation ' || n_nationkey || ' is ' || n_name AS line FROM nation) WHERE line <> ''""")
+def file_reader_words(spark, d):
+    """A text file as numbered lines, read in the first step, and its words."""
+    folder = f"{Storage(spark).folder}/lines"
+    line = F.concat(F.lit("nation "), "n_nationkey", F.lit(" is "), "n_name").alias("line")
+    t(spark, d, "nation").select(line).orderBy("line").coalesce(1).write.text(folder)
+    lines = type("Lines", (_Lines,), {"text": P.file_reader(f"{folder}/*.txt")})(spark)
+    lines.tick()
+    lines.tick()
+    return lines.words.df()
+
+
+@query("SELECT CAST(o_orderkey AS bigint) AS k, o_orderstatus AS v FROM orders WHERE o_orderstatus <> 'P'")
+def durable_reload(spark, d):
+    """A durable table written by one program, changed by a second one after it, and read by a third."""
+    path = f"{Storage(spark).folder}/kept"
+
+    class Store(P.Program):
+        kept = P.durable(path, "k long", "v string")
+        gone = P.scratch("k long, v string")
+
+        @P.rules
+        def drop(p):
+            p.kept.delete_(p.gone)
+
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    first, second = Store(spark), Store(spark)
+    first.tick({"kept": o})
+    first.stop()
+    second.tick({"gone": o.where("o_orderstatus = 'P'")})
+    second.tick()
+    second.stop()
+    third = Store(spark)
+    third.tick()
+    return third.kept.df()
+
+
+@query("SELECT n_name AS line FROM nation WHERE n_regionkey = 1")
+def terminal_echo(spark, d):
+    """Lines typed in, those of one region printed."""
+    out: list[str] = []
+
+    class Echo(P.Program):
+        terminal = P.terminal()
+        region = P.table("name string")
+
+        @P.rules
+        def echo(p):
+            p.terminal.async_(p.terminal.include(p.region, {"line": "name"}))
+
+    p = Echo(spark, stdout=out.append)
+    n = t(spark, d, "nation")
+    p.tick({"region": n.where("n_regionkey = 1").select("n_name")})
+    for r in n.select("n_name").collect():
+        p.type_line(r[0])
+    p.tick()
+    return spark.createDataFrame([(x,) for x in out], "line string")
+
+
+class _Account(P.Program):
+    """Deposits in, balances out; one module for each region."""
+
+    deposit = P.interface("input", "k long, amount long")
+    total = P.table("k long, amount long")
+    balance = P.interface("output", "k long", "sum long")
+
+    @P.rules
+    def add(p):
+        p.total <= p.deposit
+        p.balance <= p.total.group(["k"], sum=A.sum_("amount"))
+
+
+class _Bank(P.Program):
+    imports = {"a": _Account, "b": _Account}
+    all_ = P.scratch("side string, k long, sum long")
+
+    @P.rules
+    def both(p):
+        p.all_ <= p.a.balance.select(F.lit("a"), "k", "sum")
+        p.all_ <= p.b.balance.select(F.lit("b"), "k", "sum")
+
+
+@query("""SELECT CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS side, CAST(c_nationkey AS bigint) AS k, CAST(sum(amount) AS bigint) AS sum
+FROM (SELECT DISTINCT o_orderstatus = 'F' AS o_f, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'x' END AS o_orderstatus, c_nationkey, CAST(round(o_totalprice) AS bigint) AS amount
+FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1, 2""")
+def modules(spark, d):
+    """Two instances of a module, each fed on its own."""
+    rows = O.pairs(t(spark, d, "orders"), t(spark, d, "customer"), {"o_custkey": "c_custkey"}, (L["o_orderstatus"] == "F").alias("f"), R["c_nationkey"].cast("long").alias("k"), F.round(L["o_totalprice"]).cast("long").alias("amount"))
+    p = _Bank(spark)
+    p.tick({"a.deposit": rows.where("f").select("k", "amount"), "b.deposit": rows.where("NOT f").select("k", "amount")})
+    return p.all_.df()
+
+
+@query("SELECT status, count(*) AS n, CAST(min(day) AS bigint) AS first FROM (SELECT o_orderstatus AS status, o_orderkey % 3 AS day FROM orders) GROUP BY status")
+def callbacks(spark, d):
+    """A callback sees each step's rows; host code between steps feeds them."""
+    seen: list[tuple[int, DataFrame]] = []
+    p = _Ledger(spark)
+    p.on("incoming", lambda df: seen.append((p.step, df)))
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.round("o_totalprice").cast("long").alias("price"))
+    for k in range(3):
+        p.sync_do(lambda p, k=k: p.insert("incoming", o.where(F.col("id") % 3 == k)))
+    rows = O.union(*(df.select("id", "status", F.lit(k).cast("long").alias("day")) for k, df in seen))
+    return O.group_as(rows, ["status"], is_set=True, n=A.count(), first=A.min_("day"))
+
+
+@query("SELECT c_custkey AS id, n_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey <= 5")
+def sync_callbacks(spark, d):
+    """Requests one at a time, each with its answer, in a program that runs in the background."""
+    p = _Ask(spark, address="here")
+    p.run_bg()
+    try:
+        p.sync_do(lambda p: p.insert("known", t(spark, d, "nation").select("n_nationkey", "n_name")))
+        asked = t(spark, d, "customer").where("c_custkey <= 5").select("c_custkey", "c_nationkey").collect()
+        found = []
+        for r in asked:
+            p.async_do(lambda p, r=r: p.insert("request", [("here", r[0], "here", r[1])]))
+            found += [x[1:] for x in p.delta("response")]
+    finally:
+        p.stop()
+    return spark.createDataFrame(found, "id long, name string")
+
+
+@query("SELECT CAST(step AS bigint) AS step, CAST(floor(step / 2) AS bigint) AS held FROM (SELECT unnest(range(6)) AS step)")
+def deferred_order(spark, d):
+    """In each step a row is deleted and inserted at once: what arrives at the next step's start is there, deletes having gone first."""
+
+    class Order(P.Program):
+        n = P.table("v long")
+        log = P.table("step long, held long")
+
+        @P.rules
+        def turn(p):
+            p.n.delete_(p.n)
+            p.n.next_(p.n.select(F.col("v") + 1))
+            p.log <= p.n.apply(lambda df: df.select(F.lit(p.step).cast("long"), F.floor(F.col("v") / 2).cast("long")), True)
+
+    p = Order(spark)
+    p.insert("n", [(0,)])
+    for _ in range(6):
+        p.tick()
+    return p.log.df()
+
+
+@query("SELECT CAST(n_regionkey AS bigint) AS k, CAST(max(n_nationkey) AS bigint) AS best FROM nation GROUP BY 1")
+def host_aggregate(spark, d):
+    class Largest(A.HostAgg):
+        def trans(self, state, value):
+            return (value, A.REPLACE) if value > state else (state, A.KEEP if value == state else A.IGNORE)
+
+    n = t(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("k"), F.col("n_nationkey").cast("long").alias("v"))
+    return O.group_fold(n, ["k"], "v", Largest(), "best", "long")
+
+
+@query("SELECT c_custkey, c_nationkey, c_mktsegment FROM customer QUALIFY rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment DESC) = 1")
+def host_arg_aggregate(spark, d):
+    class Last(A.HostAgg):
+        def trans(self, state, value):
+            return (state, A.KEEP) if value == state else (value, A.REPLACE) if value > state else (state, A.IGNORE)
+
+    return O.arg_fold(t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), ["c_nationkey"], "c_mktsegment", Last())
+
+
+@query("""SELECT tick, name, n FROM (VALUES (0, 'nation', 25), (0, 'start', 0), (1, 'nation', 0), (1, 'start', 5)) x(tick, name, n) WHERE name = 'nation'
+UNION ALL SELECT 0, 'named', count(*) FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 1, 'named', 0""")
+def traced_cardinalities(spark, d):
+    """What each step held, from the trace that a program leaves in files."""
+    from strata import trace
+
+    folder = f"{Storage(spark).folder}/trace"
+    p = _Temp(spark, trace_folder=folder)
+    p.tick({"nation": t(spark, d, "nation").select("n_nationkey", "n_regionkey")})
+    p.tick()
+    counts, _ = trace.load(spark, folder)
+    return counts.where("table_name IN ('nation', 'named')").select(F.col("tick").cast("int").alias("tick"), F.col("table_name").alias("name"), "n")
+
+
+@query("SELECT event_id AS id, event_type AS kind, 'received' AS what FROM events WHERE value > 100 UNION ALL SELECT event_id, event_type, 'sent' FROM events")
+def traced_messages(spark, d):
+    from strata import trace
+
+    p = _Mail(spark, address="here", trace=True)
+    e = t(spark, d, "events")
+    p.insert("chn", e.select(F.when(F.col("value") > 100, "here").otherwise("there"), "event_id", "event_type"))
+    p.tick()
+    field = lambda k: F.get_json_object("tuple", f"$.{k}")
+    found = [trace.messages(p, what).where("pred = 'chn'").select(field("id").cast("long").alias("id"), field("kind").alias("kind"), F.lit(what).alias("what")) for what in ("sent", "received")]
+    return found[0].unionByName(found[1])
+
+
+@query("SELECT 'a@0' AS src, 'b@0' AS dst, 'ring' AS name UNION ALL SELECT 'b@0', 'c@0', 'ring' UNION ALL SELECT 'c@0', 'a@1', 'ring' UNION ALL SELECT 'a@0', 'a@1', ''")
+def space_time(spark, d):
+    """A message around three programs: its edges and the order of each program's steps."""
+    from strata import analysis
+    from strata.streaming.network import Network
+
+    class Node(P.Program):
+        ring = P.channel("@to string, hops int")
+
+        @P.rules
+        def forward(p):
+            after = {"a": "b", "b": "c", "c": "a"}[p.address]
+            p.ring.async_(p.ring.where("hops < 3").select(F.lit(after), F.col("hops") + 1))
+
+    net = Network(trace=True)
+    nodes = {a: Node(spark, address=a, network=net) for a in "abc"}
+    nodes["a"].deliver("ring", spark.createDataFrame([("a", 0)], "to string, hops int"))
+    net.run()
+    return spark.createDataFrame(analysis.space_time(net.log), "src string, dst string, name string")
+
+
+@query("SELECT 'i1_INPUT' AS source, 'out' AS sink, 'A' AS label UNION ALL SELECT 'i2_INPUT', 'out', 'D'")
+def label_report(spark, d):
+    """Consistency labels of ways from inputs to outputs, marked by `interfaces`."""
+    from strata import analysis
+
+    class Ports(P.Program):
+        i1, i2 = P.channel("@addr string, v long"), P.channel("@addr string, v long")
+        stored, seen, out = P.table("v long"), P.table("v long"), P.scratch("v long")
+        interfaces = {"i1": "input", "i2": "input", "out": "output"}
+
+        @P.rules
+        def body(p):
+            p.stored <= p.i1.payloads()
+            p.seen <= p.i2.payloads()
+            p.out <= p.stored.notin(p.seen)
+
+    found = analysis.path_report(Ports(spark))
+    return spark.createDataFrame([(a, to, label) for to, of in found.items() for a, label in of.items()], "source string, sink string, label string")
+
+
+@query("SELECT 'unread' AS pred, true AS input UNION ALL SELECT 'unwritten', false")
+def underspecified(spark, d):
+    from strata import analysis
+
+    class Loose(P.Program):
+        unread, used = P.interface("input", "v long"), P.interface("input", "v long")
+        unwritten, made = P.interface("output", "v long"), P.scratch("v long")
+        interfaces = {"made": "output"}
+
+        @P.rules
+        def body(p):
+            p.made <= p.used
+
+    return analysis.reflect(Loose(spark))["t_underspecified"]
+
+
+@query("SELECT 'timer' AS pername, 3600.0::DOUBLE AS period")
+def builtin_periodics(spark, d):
+    class Seen(_Timer):
+        found = P.scratch("pername string, period double")
+
+        @P.rules
+        def look(p):
+            p.found <= p.periodics_tbl
+
+    p = Seen(spark)
+    p.tick()
+    return p.found.df()
+
+
 # --- analysis ----------------------------------------------------------------------------------------------------------------------
 
 
