@@ -360,7 +360,7 @@ def group_fold(df: DataFrame, keys: Sequence[str] | None, column: str, agg: A.Ho
 
     head = "".join(f"`{k}` {kinds[k]}, " for k in keys)
     partial = slim.mapInPandas(part, f"{head}_state binary")
-    grouped = partial.groupBy(*keys) if keys else partial.groupBy(F.lit(1))
+    grouped = partial.groupBy(*keys)
     return grouped.applyInPandas(merged, f"{head}`{name}` {type_}")
 
 
@@ -402,7 +402,7 @@ def arg_fold(df: DataFrame, keys: Sequence[str] | None, column: str, agg: A.Host
         return pd.DataFrame(keep(list(pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None))), columns=columns)
 
     partial = df.distinct().mapInPandas(part, df.schema)
-    grouped = partial.groupBy(*keys) if keys else partial.groupBy(F.lit(1))
+    grouped = partial.groupBy(*keys)
     return grouped.applyInPandas(merged, df.schema)
 
 
