@@ -19,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; set here only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file:///tmp/strata-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file:///tmp/strata-checkpoints"  # one machine: its folder is shared
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/strata-{uuid.uuid4().hex}"
 

@@ -9,6 +9,7 @@ The exchange of documents by part is the same in all steps of a plan, so Spark m
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -18,16 +19,27 @@ from pyspark.sql import functions as F
 
 from strata.llm._common import U64, parts_for, planes, text_bytes, unplanes
 
-#: Bytes of text of a part.
-PART_BYTES = 6 << 20
+#: Bytes of text of a part, at least and at most. An exchange has a row for each part and bucket, and as many buckets as parts; parts
+#: grow with the root of the corpus from 94 GB on, so that a row holds 64 hashes (30 at 100 TB) instead of fewer and fewer.
+PART_BYTES, LARGEST_PART, ROW_HASHES = 6 << 20, 128 << 20, 64
+
+
+def part_bytes(total: int) -> int:
+    """Of a corpus of so many bytes; a word and so a hash for each six."""
+    return max(PART_BYTES, min(LARGEST_PART, math.isqrt(6 * ROW_HASHES * total)))
+
+
 #: Flags: the hash is a reference (of an index) somewhere in the part; it occurs twice or more in the part.
 REFERENCE, TWICE = 1, 2
 
 
 def by_part(docs: DataFrame, key: str, text: str, *more: str) -> tuple[DataFrame, int]:
     """docs as part, key (long) and text, and the number of parts."""
-    n = parts_for(docs.sparkSession, text_bytes(docs.select(docs[text].alias("text"))), PART_BYTES)
-    return docs.select(F.pmod(F.xxhash64(docs[key].cast("long")), F.lit(n)).cast("int").alias("part"), docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"), *more), n
+    total = text_bytes(docs.select(docs[text].alias("text")))
+    n = parts_for(docs.sparkSession, total, part_bytes(total))
+    number = docs[key].cast("long")
+    spread = F.when(number.isNull(), F.xxhash64(docs[text].cast("string"))).otherwise(F.xxhash64(number))  # null keys have no part of their own
+    return docs.select(F.pmod(spread, F.lit(n)).cast("int").alias("part"), docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"), *more), n
 
 
 def marks(hashes: np.ndarray, n_buckets: int) -> np.ndarray:

@@ -204,7 +204,7 @@ def linked_classes(docs: DataFrame, n: int, num: int, den: int, text: str, key:
     largest = classes.agg(F.max("n")).first()[0] or 1
     bands = Bands(num, den, largest)
 
-    own, n_parts = by_part(docs, key, text)
+    own, n_parts = by_part(docs.where(docs[key].isNotNull()), key, text)
     part = F.pmod(F.xxhash64("rep"), F.lit(n_parts)).cast("int")
     reps = classes.select(part.alias("part"), "rep", "n", "a", "b", "copies", "id")
 

@@ -4,8 +4,8 @@ Documents are routed to context-size tiers (powers of two up to the longest wind
 document opens a window of its tier; the gap behind it is filled from shorter tiers, first by the longest whole piece that
 fits, then by cutting a piece to the exact size. Text longer than the longest window fills whole windows first, and its rest
 is routed again. What is left when no more text comes is cut into powers of two, which need no padding. The windows of a
-tier are then dealt to step groups of equal token count, so that the attention cost (the sum of squared piece lengths) of
-the groups is even.
+tier are then dealt to step groups of equal token count (but one of what is left over), so that the attention cost (the sum of
+squared piece lengths) of the groups is even.
 
 Packing happens within an input partition, in groups of a bounded number of tokens, with what doesn't fill a window carried
 to the next group: no text is shuffled, memory is bounded, and a lost task packs the same rows in the same way again.
@@ -110,20 +110,27 @@ def _tail(left: list[Piece]) -> list[Window]:
 
 
 def step_groups(windows: list[Window], step_tokens: int = STEP_TOKENS) -> list[int]:
-    """A step group for each window: those of a tier are dealt, the costliest first, to the group of least cost with room."""
+    """A step group for each window. Groups of a tier hold as many windows as step_tokens allow, and one holds those left over, which are
+    taken evenly from cheap to costly; the others are dealt, the costliest first, to the group of least cost with room."""
     out, by_size, base = [0] * len(windows), {}, 0
     for i, (size, _) in enumerate(windows):
         by_size.setdefault(size, []).append(i)
+    cost = [sum(p[2] ** 2 for p in pieces) for _, pieces in windows]
     for size, own in sorted(by_size.items(), reverse=True):
         room = max(1, step_tokens // size)
-        n = -(-len(own) // room)
+        own.sort(key=lambda i: -cost[i])
+        n, over = divmod(len(own), room)
+        left = {own[(2 * k + 1) * len(own) // (2 * over)] for k in range(over)}
         heap = [(0, g, 0) for g in range(n)]
-        for i in sorted(own, key=lambda i: -sum(p[2] ** 2 for p in windows[i][1])):
-            cost, g, held = heapq.heappop(heap)
+        for i in own:
+            if i in left:
+                out[i] = base + n
+                continue
+            total, g, held = heapq.heappop(heap)
             out[i] = base + g
             if held + 1 < room:
-                heapq.heappush(heap, (cost + sum(p[2] ** 2 for p in windows[i][1]), g, held + 1))
-        base += n
+                heapq.heappush(heap, (total + cost[i], g, held + 1))
+        base += n + (over > 0)
     return out
 
 

@@ -8,8 +8,8 @@ exact repeat. Only the first start of each window is looked for, never pairs of
 documents share costs one row for each part of the corpus. Windows are judged on the input.
 
 Words are maximal runs of bytes other than 0x20 and 0x09 to 0x0D, unchanged. Null and empty texts have no words. Documents that
-repeat a key count as one sequence of starts in order of text, without windows across them; null keys come first. An empty
-table gives an empty result."""
+repeat a key count as one sequence of starts in order of text, without windows across them. Null keys come first, in order of a hash
+of their text (and of the number of parts), so that they don't meet in one task. An empty table gives an empty result."""
 
 from __future__ import annotations
 

@@ -226,3 +226,25 @@ def test_rolling_names_each_run():
 def test_regular_runs_of_words_do_not_collide():
     x, y = (np.array([ord(c) for c in t], np.uint64) for t in thue_morse(4096))
     assert rolling(x, 4096, 7)[0] != rolling(y, 4096, 7)[0]
+
+
+def test_parts_grow_with_the_root_of_the_corpus():
+    from strata.llm import _repeats
+
+    for total in (1 << 30, 90 << 30, 1 << 40, 40 << 40):
+        size = _repeats.part_bytes(total)
+        n = -(-total // size)
+        assert size <= _repeats.LARGEST_PART and (size == _repeats.PART_BYTES or size / 6 / n > 0.9 * _repeats.ROW_HASHES)
+    assert _repeats.part_bytes(100 << 40) == _repeats.LARGEST_PART
+
+
+def test_many_null_and_repeated_keys(spark):
+    """Null keys link with nothing in op5 and come first in op3; tables of nothing else work."""
+    docs = corpus(60, 11, 80)
+    nulls = [(None, f"{t} own{i}") for i, (_, t) in enumerate(docs[:30])]
+    rows = substring.remove_repeats(frame(spark, nulls + [(5, docs[0][1])])).collect()
+    assert len(rows) == 31 and {r.n_removed for r in rows if r.doc_id == 5} == {removed(nulls + [(5, docs[0][1])], 20)[30][1]}
+    assert {(r.component_id, r.n_links) for r in jaccard.jaccard_classes(frame(spark, nulls)).collect()} == {(None, 0)}
+    same = [(7, t) for _, t in docs]
+    want = removed(same, 20)
+    assert sorted((r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(frame(spark, same)).collect()) == sorted(want.values())

@@ -245,3 +245,23 @@ def test_pack_holds_each_token_once(lengths):
         assert own[0][0] == 0 and own[-1][1] == n and all(a[1] == b[0] for a, b in zip(own, own[1:]))
     groups = packing.step_groups(windows, 8192)
     assert all(sum(windows[i][0] for i, g in enumerate(groups) if g == k) <= 8192 for k in set(groups))
+
+
+def test_step_groups_are_of_equal_size_and_even_cost():
+    rng = random.Random(2)
+    windows = [(4096, [(0, 0, n), (1, 0, 4096 - n)]) for n in (rng.randrange(1, 4096) for _ in range(64 * 3 + 7))]
+    groups = packing.step_groups(windows)
+    held = [groups.count(g) for g in range(4)]
+    assert sorted(held) == [7, 64, 64, 64] and len(set(groups)) == 4
+    cost = [sum(sum(p[2] ** 2 for p in w[1]) for w, x in zip(windows, groups) if x == g) for g in range(4) if groups.count(g) == 64]
+    assert max(cost) < 1.02 * min(cost)
+    assert packing.step_groups(windows[:5]) == [0] * 5 and packing.step_groups([]) == []
+
+
+def test_op2_repeats_and_nulls(spark):
+    """Rows that repeat, ids that repeat with other texts, and null ids: each row's ids are packed once."""
+    rows = [(1, "a b c"), (1, "a b c"), (1, "d e"), (None, "f"), (None, "f"), (2, None)]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), WORD, 2).collect()
+    want = sorted((str(k), x) for k, t in rows for x in [*ids_of(WORD, t), 2])
+    assert sorted((str(r.doc_id), int(x)) for r in out for x in np.frombuffer(r.ids, "<u4")) == want
+    assert sum(r.length for r in out) == len(want)
