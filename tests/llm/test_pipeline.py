@@ -73,3 +73,32 @@ def test_near_duplicates_go_by_row(spark):
     frame = spark.createDataFrame([(k, t, "en", "x", len(t)) for k, t in docs], spark.read.parquet(f"{SF}/documents.parquet").schema)
     got = sorted((r.doc_id or 0, r.text) for r in cp.near_duplicates(spark, frame, SF).collect())
     assert got in [sorted([(3, a), (7, b), (8, x), (10, ""), (10, ""), (10, "10 10"), (0, a), (0, a)]) for x in (c, c.upper())]
+
+
+def test_stages_take_nulls_repeats_long_texts_and_clashing_columns(spark):
+    """Each stage on rows with nulls in every column, repeated rows and ids, one very long text and columns of names used inside."""
+    english = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' AND length(text) > 400").orderBy("doc_id").limit(12).collect()]
+    rows = [(k, t, "en", "web", len(t)) for k, t in enumerate(english)]
+    rows += [(20, " ".join(f"the word {i} of it" for i in range(60_000)), "en", "long", 1)]
+    rows += [rows[0], rows[0], (0, english[1] + " and more of the same", None, None, None), (None, english[2], None, None, None), (30, None, None, None, None), (None, None, None, None, None), (31, "", "en", "", 0)]
+    names = ("part", "key", "n", "a", "b", "rep", "id", "kept", "n_words", "n_removed", "spans", "score", "lang_pred", "carry0", "found", "own")
+    docs = spark.createDataFrame([(*r, *[1] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    docs = docs.select(*names[:8], *cp.COLUMNS, *names[8:])
+    plain = spark.read.parquet(f"{SF}/documents.parquet").schema
+    now = docs
+    for name, stage in cp.STAGES:
+        out = stage(spark, now, SF).collect()
+        if name == "packing":
+            break
+        assert all(r.__fields__ == list(cp.COLUMNS) for r in out)
+        held = sorted((str(r.doc_id), len(r.text or "")) for r in out)
+        if name == "language ID":
+            assert {r.doc_id for r in out} == {*range(12), 20, None} and len(out) == 17
+        elif name == "n-gram Jaccard join":  # one of each repeated row; null ids stay
+            assert [k for k, _ in held].count("0") in (1, 2) and [k for k, _ in held].count("None") == 1
+        now = spark.createDataFrame([tuple(r) for r in out], plain).selectExpr("*", "1 AS part", "'x' AS key", "2 AS n", "3 AS kept")
+    packed = {}
+    for r in out:
+        packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
+    left = now.collect()
+    assert packed.keys() == {r.doc_id for r in left} and 20 in packed
