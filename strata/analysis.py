@@ -253,14 +253,19 @@ def path_report(p: Program) -> dict[str, dict[str, str]]:
     return {to: {a: _name(joined(x[3] for x in found if x[:2] == (a, to))) for a in {x[0] for x in found if x[1] == to}} for to in {x[1] for x in found}}
 
 
-def dot(p: Program) -> str:
-    """The dataflow as GraphViz text: collections by kind, edges by rule (dashed if deferred, dotted if asynchronous)."""
+def dot(p: Program, tick: int | None = None) -> str:
+    """The dataflow as GraphViz text: collections by kind, in a box for each stratum, edges by rule (dashed if deferred, dotted if
+    asynchronous). tick: with the rows that each collection held in that step, of a program made with trace=True."""
+    held = {n: k for t, n, k in p.trace_log or [] if t == tick}
     shape = {TABLE: "box", DURABLE: "box", CELL: "hexagon", CHANNEL: "cds"}
     lines = ["digraph program {", "  rankdir=LR;"]
     used = {n for d in p.depends() for n in (d.lhs, d.body)}
     strata = p.plan()[1]
-    for n in sorted(used):
-        lines.append(f'  "{n}" [shape={shape.get(_state_of(p, n), "ellipse")}, label="{n}\\nstratum {strata.get(n, 0)}"];')
+    for level in sorted({strata.get(n, 0) for n in used}):
+        lines.append(f'  subgraph "cluster_{level}" {{ label="stratum {level}";')
+        for n in sorted(x for x in used if strata.get(x, 0) == level):
+            lines.append(f'    "{n}" [shape={shape.get(_state_of(p, n), "ellipse")}, label="{n}{f"\\n{held[n]} rows" if n in held else ""}"];')
+        lines.append("  }")
     for a, b, op, nm in sorted({(d.body, d.lhs, d.op, d.nm) for d in p.depends()}):
         style = "dotted" if op == "<~" else "dashed" if op != "<=" else "solid"
         lines.append(f'  "{a}" -> "{b}" [style={style}, label="{op}{" not" if nm else ""}"];')

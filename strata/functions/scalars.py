@@ -32,3 +32,13 @@ def words(text: Column) -> Column:
 
 def json_long(props: Column, key: str) -> Column:
     return F.get_json_object(props, f"$.{key}").cast("long")
+
+
+def random_of(*cols, seed: int = 0) -> Column:
+    """A number from 0 to 1, exclusive, for each value of some columns: as good as random, and the same in every run and retry."""
+    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def id_of(*cols, seed: int = 0) -> Column:
+    """A 32-digit identifier for each value of some columns: of equal values the same, of others another."""
+    return F.md5(F.to_json(F.struct(*cols, F.lit(seed).alias("_seed"))).cast("binary"))

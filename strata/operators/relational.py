@@ -56,6 +56,10 @@ def project(df: DataFrame, *exprs, where: Column | None = None) -> DataFrame:
     return df.select(*exprs_of(df, exprs)) if exprs else df
 
 
+#: Other names of the same operator.
+pro = map_ = each = project
+
+
 def flat_map(df: DataFrame, items: Column, *exprs, name: str = "item", index: str | None = None) -> DataFrame:
     """A row for each item of an array column; exprs see the row's columns, the item and, if named, its index."""
     row = df.select("*", F.posexplode(items).alias(index or "_index", name))

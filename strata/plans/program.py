@@ -118,6 +118,11 @@ def coll_expr(make: Callable[[], DataFrame | list], keys=None, vals=None):
     return Decl(READONLY, keys, vals, make=make)
 
 
+def watched(path: str):
+    """The files of a folder as rows (name, value), looked at anew in each step."""
+    return Decl(READONLY, "name string", "value string", watch=path)
+
+
 def readonly(keys=None, vals=None):
     return Decl(READONLY, keys, vals, make=list)
 
@@ -865,6 +870,10 @@ class Program:
             from strata.sources.text import numbered_lines
 
             return self._keep(s.align(numbered_lines(self.spark, d.options["path"])), name)
+        if "watch" in d.options:
+            from strata.sources.durable import watch
+
+            return self._keep(s.align(watch(self.spark, d.options["watch"])), name)
         made = d.options["make"]()
         return s.align(made) if isinstance(made, DataFrame) else s.rows(self.spark, made)
 
@@ -1047,4 +1056,4 @@ class Program:
         return {k.removeprefix("mark."): v for k, v in numbers.items() if k.startswith("mark.")}
 
 
-__all__ = ["Program", "Coll", "KeyConstraintError", "table", "scratch", "interface", "channel", "loopback", "periodic", "terminal", "file_reader", "coll_expr", "readonly", "durable", "lmax", "lmin", "lbool", "lset", "lpset", "lbag", "lmap", "cell", "rules", "bootstrap"]
+__all__ = ["Program", "Coll", "KeyConstraintError", "table", "scratch", "interface", "channel", "loopback", "periodic", "terminal", "file_reader", "coll_expr", "readonly", "watched", "durable", "lmax", "lmin", "lbool", "lset", "lpset", "lbag", "lmap", "cell", "rules", "bootstrap"]

@@ -46,6 +46,17 @@ class Rel:
     def where(self, pred: Column) -> Rel:
         return self._unary(lambda d: d.where(pred), key_cols=self._keys)
 
+    def reject(self, pred: Column) -> Rel:
+        """Rows for which pred doesn't hold."""
+        return self.where(~F.coalesce(pred, F.lit(False)))
+
+    def uniq(self) -> Rel:
+        return self._unary(lambda d: d.distinct(), key_cols=self._keys)
+
+    def first(self, n: int = 1, *order) -> Rel:
+        """The n first rows in an order, of all columns if none is given."""
+        return self._unary(lambda d: O.top_k(d, n, *(order or d.columns)), True, self._keys)
+
     def on_include(self, pred: Column) -> Rel:
         return self.where(pred)
 
@@ -96,6 +107,10 @@ class Rel:
     def if_empty(self, other: Rel) -> Rel:
         return self._binary(other, O.empty, nm_right=True)
 
+    def if_any(self, other: Rel) -> Rel:
+        """All rows where other has any, else none."""
+        return self.exists(other)
+
     def with_length(self, other: Rel, name: str = "length") -> Rel:
         return self._binary(other, lambda a, b: O.with_length(a, b, name), nm_right=True)
 
@@ -229,6 +244,12 @@ class Rel:
         return self.contains(key)
 
 
+def either(condition: Rel, then: Rel, otherwise: Rel) -> Rel:
+    """then's rows where the condition has any row, else those of otherwise, by position."""
+    yes, no = then.if_any(condition), otherwise.if_empty(condition)
+    return yes._binary(no, lambda a, b: a.union(b))
+
+
 class Scan(Rel):
     """The rows of a named collection; each use in a rule is a scan of its own."""
 

@@ -1258,6 +1258,69 @@ def builtin_periodics(spark, d):
     return p.found.df()
 
 
+@query("SELECT 'n' || n_nationkey AS name, n_name AS value FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'late', 'node'")
+def watched_folder(spark, d):
+    """A folder's files as a collection that follows it."""
+    folder = f"{Storage(spark).folder}/watched"
+    nodes = t(spark, d, "nation").where("n_regionkey = 0").select(F.concat(F.lit("n"), "n_nationkey"), "n_name").collect()
+
+    class Mirror(P.Program):
+        nodes = P.watched(folder)
+        seen = P.scratch("name string, value string")
+
+        @P.rules
+        def mirror(p):
+            p.seen <= p.nodes
+
+    def put(name, value):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(value.encode()))
+        out.close()
+
+    p = Mirror(spark)
+    p.tick()
+    for name, value in nodes:
+        put(name, value)
+    p.tick()
+    put("late", "node")
+    p.tick()
+    return p.seen.df()
+
+
+@query("""SELECT 'cheap' AS what, CAST(p_partkey AS bigint) AS k FROM part WHERE p_size = 1 UNION ALL SELECT 'first', CAST(p_partkey AS bigint) FROM (SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 3)
+UNION ALL SELECT 'other', CAST(r_regionkey AS bigint) FROM region WHERE NOT r_regionkey > 2""")
+def conditional_rules(spark, d):
+    """A right side that depends on whether another collection has rows; the first rows; rejected rows."""
+    from strata.plans.rel import either
+
+    class Choose(P.Program):
+        part = P.scratch("k long", "size int")
+        region = P.scratch("k long")
+        nothing = P.scratch("k long")
+        out = P.scratch("what string, k long")
+
+        @P.rules
+        def choose(p):
+            small = p.part.where("size = 1").select(F.lit("cheap"), "k")
+            p.out <= either(p.region, small, p.region.select(F.lit("wrong"), "k"))
+            p.out <= either(p.nothing, p.part.select(F.lit("wrong"), "k"), p.region.reject(F.col("k") > 2).select(F.lit("other"), "k"))
+            p.out <= p.part.first(3, "k").select(F.lit("first"), "k")
+
+    p = Choose(spark)
+    p.tick({"part": t(spark, d, "part").select("p_partkey", "p_size"), "region": t(spark, d, "region").select("r_regionkey")})
+    return p.out.df()
+
+
+@query("SELECT CAST(n_nationkey AS bigint) AS k, true AS unit, 32 AS digits, (SELECT count(DISTINCT n_nationkey) FROM nation) AS ids FROM nation")
+def random_and_ids(spark, d):
+    from strata.functions.scalars import id_of, random_of
+
+    n = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), random_of("n_nationkey").alias("r"), id_of("n_nationkey").alias("i"))
+    ids = n.select("i").distinct().agg(F.count(F.lit(1)).alias("ids"))  # one row
+    return n.crossJoin(ids).select("k", ((F.col("r") >= 0) & (F.col("r") < 1)).alias("unit"), F.length("i").alias("digits"), "ids")
+
+
 # --- analysis ----------------------------------------------------------------------------------------------------------------------
 
 

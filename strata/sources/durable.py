@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -61,8 +62,10 @@ def clear(spark: SparkSession, path: str) -> None:
 
 
 def watch(spark: SparkSession, path: str) -> DataFrame:
-    """The files of a folder as rows (name, contents): a stand-in for a mirror of a coordination service's nodes."""
-    from pyspark.sql import functions as F
-
+    """The files of a folder as rows (name, value), none where there is no folder: a stand-in for a mirror of a coordination service's
+    nodes."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], "name string, value string")
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("value"))
