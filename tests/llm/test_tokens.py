@@ -265,3 +265,22 @@ def test_op2_repeats_and_nulls(spark):
     want = sorted((str(k), x) for k, t in rows for x in [*ids_of(WORD, t), 2])
     assert sorted((str(r.doc_id), int(x)) for r in out for x in np.frombuffer(r.ids, "<u4")) == want
     assert sum(r.length for r in out) == len(want)
+
+
+@pytest.mark.parametrize("encoder", [BYTES, WORDS], ids=["bytes", "words"])
+def test_encoders_are_exact_over_the_vocabulary(encoder):
+    """Texts of tokens from the whole vocabulary, glued and apart, with marks, digits, case and white space between."""
+    rng = random.Random(7)
+    tokens = [encoder.library.decode([i]) for i in range(encoder.library.get_vocab_size())]
+    marks = [" ", " ", " ", "", ".", ", ", "\n", "'s ", "...", "!?) ", " 12", "$$$ ", '"', "  ", "\t", "-", "’", "é", "%", ".\nA"]
+    order = tokens * 2
+    rng.shuffle(order)
+    texts, at = [], 0
+    while at < len(order):
+        n = rng.randrange(1, 12)
+        texts.append("".join(t.upper() + m if rng.random() < 0.05 else t + m for t, m in zip(order[at : at + n], rng.choices(marks, k=n))))
+        at += n
+    for begin in range(0, len(texts), 2000):
+        some = texts[begin : begin + 2000]
+        for t, found in zip(some, encoder.library.encode_batch(some, add_special_tokens=False)):
+            assert np.frombuffer(encoder.encode(t), "<u4").tolist() == found.ids, t
