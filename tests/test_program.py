@@ -528,7 +528,7 @@ def test_dependency_analysis(spark):
     assert [r.path for r in found["first"].where("tag = 'D'").collect()] == [["a", "b", "c", "d"]]
     bounds = analysis.tag_bounds()
     assert bounds["M", "A"] == "A" and bounds["A", "N"] == "D" and bounds["N", "A"] == "A" and bounds["D", "M"] == "D"
-    assert "digraph" in analysis.dot(p) and "stratum" in p.explain()
+    assert "digraph" in analysis.dot(p) and 'label="stratum 0"' in analysis.dot(p) and "stratum" in p.explain()
     assert ("a@1", "b@2", "m") in analysis.space_time([("a", 1, "m", "b", 2), ("a", 3, "m", "b", 4)])
 
 
