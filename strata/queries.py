@@ -489,15 +489,25 @@ def reach_conversation(spark, d):
 sg AS (SELECT a.c AS a, b.c AS b FROM child a JOIN child b ON a.p = b.p UNION SELECT x.c, y.c FROM sg JOIN child x ON x.p = sg.a JOIN child y ON y.p = sg.b)
 SELECT a, count(*) AS n, min(b) AS least FROM sg GROUP BY a""")
 def same_generation(spark, d):
-    """Of customers of one segment and nations, as children of nations and regions: who has an ancestor in common at the same height."""
+    """Of customers of one segment and nations, as children of nations and regions: who has an ancestor in common at the same height.
+
+    Nodes with the same parents have the same relatives: rounds pair such classes, and counts and least names of classes are summed up.
+    Pairs grow with the square of the sets of parents that occur, not of the customers."""
     store = Storage(spark)
     c, n = t(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), t(spark, d, "nation")
     name = lambda letter, c: F.concat(F.lit(letter), c)
     child = c.select(name("c", "c_custkey").alias("c"), name("n", "c_nationkey").alias("p")).unionByName(n.select(name("n", "n_nationkey").alias("c"), name("r", "n_regionkey").alias("p")))
-    child = store.write(child, "child")
-    base = O.pairs(child, child, {"p": "p"}, L["c"].alias("a"), R["c"].alias("b"))
-    step = lambda x: O.combos([x, child, child], [((0, "a"), (1, "p")), ((0, "b"), (2, "p"))], S(1)["c"].alias("a"), S(2)["c"].alias("b"))
-    return O.group_as(fixpoint.closure(base, step, store), ["a"], is_set=True, n=A.count(), least=A.min_("b"))
+    # As in SQL, a null parent is nobody's; nodes without a name count as one, which is no parent.
+    member = O.group_as(child.where("p IS NOT NULL"), ["c"], parents=A.accum("p"))
+    member = store.write(member.withColumn("k", F.to_json("parents")), "member")
+    kind = store.write(O.group_as(member, ["k", "parents"], is_set=True, size=A.count(), least=A.min_("c")), "kind")
+    up = O.flat_map(kind, F.col("parents"), "k", "p", name="p")
+    over = store.write(O.pairs(up, member, {"p": "c"}, L["k"].alias("k"), R["k"].alias("above")).distinct(), "over")
+    base = O.pairs(up, up, {"p": "p"}, L["k"].alias("a"), R["k"].alias("b"))
+    step = lambda x: O.combos([x, over, over], [((0, "a"), (1, "above")), ((0, "b"), (2, "above"))], S(1)["k"].alias("a"), S(2)["k"].alias("b"))
+    sizes = O.pairs(fixpoint.closure(base, step, store), kind, {"b": "k"}, L["a"].alias("k"), R["size"].alias("size"), R["least"].alias("least"))
+    total = store.write(O.group_as(sizes, ["k"], is_set=True, n=A.sum_("size"), least=A.min_("least")), "total")
+    return O.pairs(member, total, {"k": "k"}, L["c"].alias("a"), R["n"].alias("n"), R["least"].alias("least"))
 
 
 # --- steps: deferred inserts, deletes and upserts --------------------------------------------------------------------------
